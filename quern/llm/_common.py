@@ -110,6 +110,8 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     }
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([pa.field(f.name, _arrow_type(f.dataType)) for f in kind.fields])
     return simple[type(kind)]
 
 

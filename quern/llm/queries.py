@@ -8,12 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, sharding
+from quern.llm import bpe, fingerprints, licenses, mixing, sharding
 from quern.llm._common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licenses.scan_licenses(docs)
+    base = F.filter("license_spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    strongest = F.array_max(F.transform("license_spans", lambda s: s["mandatory"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("license_spans")).alias("labels"),
+        F.coalesce(strongest / (strongest + 2), F.lit(0.0)).alias("score"),
+    )
+
+
+def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded="decoded")
@@ -81,6 +107,8 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_templates": op1_license_templates,
+        "op3_edit_embedding": op3_edit_embedding,
         "op4_byte_bpe": op4_byte_bpe,
         "op9_curriculum_mix": op9_curriculum_mix,
         "op10_hypergeometric_shards": op10_hypergeometric_shards,
