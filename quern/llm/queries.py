@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprints, licenses, mixing, sharding
+from quern.llm import bpe, fingerprints, licenses, mixing, quality, sharding, toxicity
 from quern.llm._common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,29 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(folds: int, fold: int):
+    """Whether a row's document number falls into the held-out fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~_held_out(4, 2))
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
+    return scored.select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~_held_out(5, 0))
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", "source", mixing.word_count(F.col("text")).alias("size")
@@ -110,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_templates": op1_license_templates,
         "op3_edit_embedding": op3_edit_embedding,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_boosted_quality": op5_boosted_quality,
+        "op8_compression_toxicity": op8_compression_toxicity,
         "op9_curriculum_mix": op9_curriculum_mix,
         "op10_hypergeometric_shards": op10_hypergeometric_shards,
     }
