@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, fingerprints, licenses, mixing, quality, sharding, toxicity
+from quern.llm import ann, bpe, fingerprints, licenses, mixing, quality, sharding, toxicity
 from quern.llm._common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,10 @@ def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(~_held_out(5, 0))
@@ -134,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_edit_embedding": op3_edit_embedding,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_boosted_quality": op5_boosted_quality,
+        "op6_projection_forest": op6_projection_forest,
         "op8_compression_toxicity": op8_compression_toxicity,
         "op9_curriculum_mix": op9_curriculum_mix,
         "op10_hypergeometric_shards": op10_hypergeometric_shards,
