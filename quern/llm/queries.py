@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, licenses, mixing, quality, sharding, toxicity
+from quern.llm import ann, bpe, fingerprints, licenses, mixing, ngram_join, quality, sharding, toxicity
 from quern.llm._common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -36,6 +36,10 @@ def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -135,6 +139,7 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_templates": op1_license_templates,
+        "op2_signature_trees": op2_signature_trees,
         "op3_edit_embedding": op3_edit_embedding,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_boosted_quality": op5_boosted_quality,
