@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, fingerprints, licenses, mixing, ngram_join, quality, sharding, toxicity
+from quern.llm import ann, bpe, fingerprints, licenses, mixing, ngram_join, pii, quality, sharding, toxicity
 from quern.llm._common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -73,6 +73,25 @@ def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+        return F.array_join(one, ",")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.BASE),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(~_held_out(5, 0))
@@ -144,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_boosted_quality": op5_boosted_quality,
         "op6_projection_forest": op6_projection_forest,
+        "op7_bootstrapped_pii": op7_bootstrapped_pii,
         "op8_compression_toxicity": op8_compression_toxicity,
         "op9_curriculum_mix": op9_curriculum_mix,
         "op10_hypergeometric_shards": op10_hypergeometric_shards,
