@@ -458,7 +458,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return alone.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose number is the least of their component."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(doc_id) == F.col("kept_id"), "left_semi")
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` but those whose component has a smaller number; rows without a number stay."""
+    found = jaccard_components(docs, doc_id=doc_id, text=text)
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")

@@ -55,17 +55,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _held_out(folds: int, fold: int):
+def held_out(folds: int, fold: int):
     """Whether a row's document number falls into the held-out fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").where(~_held_out(4, 2))
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(4, 2))
     scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
     return scored.select(
-        "doc_id", _held_out(4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out(4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
 
 
@@ -94,10 +94,10 @@ def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").where(~_held_out(5, 0))
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(5, 0))
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
     return scored.select(
-        "doc_id", _held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 
