@@ -34,8 +34,8 @@ LEAF_ROWS = 256
 SEARCH_ROWS, SEARCH_SHARE = 8_000, 0.06
 #: Vectors of a node that decide where it is split, at most.
 SPLIT_ROWS = 256
-#: Vectors that meet a leaf's queries in one task; larger leaves are split among tasks.
-BLOCK_ROWS = 16_384
+#: Vectors that a block holds, about. A block has neighbouring leaves; larger leaves are split among blocks.
+BLOCK_ROWS = 32_768
 SEED = 20240506
 
 
@@ -208,58 +208,94 @@ def nearest(
     counted = dict(placed.groupBy("leaf").count().collect())
     sizes = np.array([counted.get(i, 0) for i in range(forest.n_leaves)], np.int64)
     wanted = max(search_rows, math.ceil(search_share * sizes.sum()))
-    blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    # Blocks of neighbouring leaves; a leaf of more than BLOCK_ROWS has blocks of its own.
+    first_block, n_blocks, block, held = [], [], 0, 0
+    for size in sizes.tolist():
+        parts = max(1, -(-size // BLOCK_ROWS))
+        if held and (held + size > BLOCK_ROWS or parts > 1):
+            block, held = block + 1, 0
+        first_block.append(block)
+        n_blocks.append(parts)
+        block, held = (block + parts, 0) if parts > 1 else (block, held + size)
+    first_of, parts_of = np.array(first_block), np.array(n_blocks)
 
     def to_searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, leaves, parts = [], [], []
+            take, blocks, leaves = [], [], []
             for i, v in enumerate(_unit(_matrix(batch.column(1), dim))):
+                by_block: dict[int, list[int]] = {}
                 for leaf in forest.search(v, sizes, wanted):
-                    for part in range(blocks[leaf]):
-                        take.append(i)
-                        leaves.append(leaf)
-                        parts.append(part)
+                    for part in range(parts_of[leaf]):
+                        by_block.setdefault(int(first_of[leaf]) + part, []).append(leaf)
+                take += [i] * len(by_block)
+                blocks += by_block.keys()
+                leaves += by_block.values()
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(leaves, pa.int32()), pa.array(parts, pa.int32())],
-                ["vec_id", "vector", "leaf", "part"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(blocks, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                ["vec_id", "vector", "block", "leaves"],
             )
 
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, ids = np.asarray(batch.column(2)), np.asarray(batch.column(0))
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = first_of[leaf] + (mixed % parts_of[leaf].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block.astype(np.int32))], ["vec_id", "vector", "leaf", "block"])
+
+    def with_fields(*more: tuple[str, T.DataType]) -> T.StructType:
+        return T.StructType([*kinds, *(T.StructField(n, t) for n, t in more)])
+
     queries = usable.where(F.size("vector") == dim).where(is_query)
-    asked = queries.mapInArrow(
-        to_searched, T.StructType([*kinds, T.StructField("leaf", T.IntegerType()), T.StructField("part", T.IntegerType())])
-    )
-    split = spark.createDataFrame([(int(i), int(b)) for i, b in enumerate(blocks) if b > 1], "leaf int, blocks int")
-    given = placed.join(F.broadcast(split), "leaf", "left").withColumn(
-        "part", F.pmod(F.xxhash64("vec_id", "vector"), F.coalesce("blocks", F.lit(1))).cast("int")
-    )
+    asked = queries.mapInArrow(to_searched, with_fields(("block", T.IntegerType()), ("leaves", T.ArrayType(T.IntegerType()))))
+    given = placed.mapInArrow(to_blocks, with_fields(("leaf", T.IntegerType()), ("block", T.IntegerType())))
     met = (
-        asked.select("leaf", "part", F.lit(0).alias("kind"), "vec_id", "vector")
-        .unionByName(given.select("leaf", "part", F.lit(1).alias("kind"), "vec_id", "vector"))
-        .repartition("leaf", "part")
-        .sortWithinPartitions("leaf", "part", "kind")
+        asked.select("block", F.lit(-1).alias("leaf"), "leaves", "vec_id", "vector")
+        .unionByName(given.select("block", "leaf", F.lit(None).cast("array<int>").alias("leaves"), "vec_id", "vector"))
+        .repartition("block")
+        .sortWithinPartitions("block", "leaf")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams over leaves: a leaf's queries come first and are held, its vectors follow in blocks."""
-        home, ids, matrix = None, [], []
+        """Streams over blocks: a block's queries come first and are held, its vectors follow leaf by leaf."""
+        home, ids, values, by_leaf, found = None, [], [], {}, []
+
+        def best() -> pa.RecordBatch:
+            a, b, c = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0), np.zeros(0))
+            order = np.lexsort((b, -c, a))
+            a, b, c = a[order].astype(np.int64), b[order].astype(np.int64), c[order].astype(np.float64)
+            if len(a):  # a vector may have been met in several trees
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                a, b, c = a[new], b[new], c[new]
+                start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+                a, b, c = a[rank < k], b[rank < k], c[rank < k]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            keys = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
-            numbers = np.asarray(batch.column(3))
-            values = _matrix(batch.column(4), dim)
-            starts = np.flatnonzero(np.r_[True, (np.diff(keys, axis=0) != 0).any(axis=1)])
-            out = []
-            for start, stop in zip(starts, [*starts[1:], len(keys)], strict=True):
-                leaf, part, kind = keys[start]
-                if home != (leaf, part):
-                    home, ids, matrix = (leaf, part), [], []
-                if kind == 0:
-                    ids.append(numbers[start:stop])
-                    matrix.append(values[start:stop])
-                elif ids:
-                    out.append(_best(np.concatenate(ids), np.concatenate(matrix), numbers[start:stop], values[start:stop], k))
-            a, b, c = (np.concatenate(z) if out else np.zeros(0) for z in (zip(*out, strict=True) if out else ([], [], [])))
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64))], ["query_id", "vec_id", "score"])
+            blocks, leaf, numbers = (np.asarray(batch.column(i)) for i in (0, 1, 3))
+            lists = batch.column(2)
+            rows = _matrix(batch.column(4), dim)
+            starts = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (leaf[1:] != leaf[:-1])])
+            for start, stop in zip(starts, [*starts[1:], len(leaf)], strict=True):
+                if home != blocks[start]:
+                    if found:
+                        yield best()
+                    home, ids, values, by_leaf, found = blocks[start], [], [], {}, []
+                if leaf[start] < 0:
+                    for i in range(start, stop):
+                        for x in lists[i].as_py():
+                            by_leaf.setdefault(x, []).append(len(ids))
+                        ids.append(numbers[i])
+                        values.append(rows[i])
+                elif at := by_leaf.get(int(leaf[start])):
+                    if isinstance(ids, list):
+                        ids, values = np.array(ids), np.array(values)
+                    found.append(_best(ids[at], values[at], numbers[start:stop], rows[start:stop], k))
+                    if sum(len(f[0]) for f in found) > 500_000:
+                        done = best()
+                        found = [tuple(np.asarray(done.column(i)) for i in range(3))]
+        yield best()
 
     found = met.mapInArrow(compare, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
