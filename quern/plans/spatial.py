@@ -1 +1,120 @@
+"""Neighbours, clusters and graphs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.operators import graphs, neighbours
+from quern.registry import query, table
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+_D = "sqrt(greatest(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 0))"
+_NEAR = f"""n AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label AS la, b.label AS lb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS rank FROM n)"""
+
+
+@query(f"WITH {_NEAR} SELECT src, dst, round(dist, 6) AS dist, rank::INT AS rank FROM r WHERE rank <= 5")
+def knn_exact(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return neighbours.exact_neighbours(v.where("vec_id % 10 = 0"), v, "vec_id", "v", 5).select("src", "dst", F.round("dist", 6).alias("dist"), "rank")
+
+
+@query(f"WITH {_NEAR} SELECT src, round(sum(dist) / 5, 6) AS mean_dist, round(max(dist), 6) AS max_dist FROM r WHERE rank <= 5 GROUP BY src")
+def knn_score(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    near = neighbours.exact_neighbours(v.where("vec_id % 10 = 0"), v, "vec_id", "v", 5)
+    return neighbours.neighbour_scores(near, 5).select("src", F.round("mean_dist", 6).alias("mean_dist"), F.round("max_dist", 6).alias("max_dist"))
+
+
+@query(f"WITH {_NEAR}, o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS k FROM n WHERE src <> dst) SELECT src, la AS label, lb AS pred FROM o WHERE k = 1")
+def nn_classify(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    near = neighbours.exact_neighbours(v.where("vec_id % 10 = 0"), v, "vec_id", "v", 1, include_self=False)
+    own = v.select(F.col("vec_id").alias("src"), "label")
+    other = v.select(F.col("vec_id").alias("dst"), F.col("label").alias("pred"))
+    return near.join(own, "src").join(other, "dst").select("src", "label", "pred")
+
+
+@query("SELECT a.vec_id AS src, b.vec_id AS dst, -round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id LIMIT 10")
+def similar_topk(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    near = neighbours.exact_neighbours(v.where("vec_id = 7"), v, "vec_id", "v", 10, include_self=False)
+    return near.select("src", "dst", (-F.round("dist", 6)).alias("similarity"))
+
+
+#: Customers as points in a plane.
+_PTS = "p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, (c_custkey * 37 % 101)::DOUBLE AS y FROM customer)"
+
+
+def points(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 37 % 101).cast("double").alias("y"))
+
+
+_EDGES = f"{_PTS}, e AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4)"
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, round(dist, 6) AS dist FROM e")
+def radius_join(spark, sf_dir):
+    return neighbours.radius_join(points(spark, sf_dir), "id", ["x", "y"], 2.0).select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {_PTS} SELECT a.id AS src, b.id AS dst FROM p a, p b WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 3")
+def box_join(spark, sf_dir):
+    return neighbours.box_join(points(spark, sf_dir), "id", {"x": 1.0, "y": 3.0})
+
+
+def _clusters(spark, sf_dir):
+    p = points(spark, sf_dir)
+    edges = neighbours.radius_join(p, "id", ["x", "y"], 2.0).where("src < dst").select("src", "dst")
+    return p, graphs.connected_components(p.select("id"), edges)
+
+
+_CC = f"WITH RECURSIVE {_EDGES}, w(id, r) AS (SELECT id, id FROM p UNION SELECT e.dst, w.r FROM w JOIN e ON e.src = w.id WHERE w.r < e.dst), c AS (SELECT id, min(r) AS component FROM w GROUP BY id)"
+
+
+@query(f"{_CC} SELECT id, component FROM c")
+def connected_components(spark, sf_dir):
+    return _clusters(spark, sf_dir)[1]
+
+
+@query(f"{_CC}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 40) SELECT s.component, s.size::BIGINT AS size, count(*) FILTER (WHERE c.id % 3 = 0)::BIGINT AS a, count(*) FILTER (WHERE c.id % 3 = 1)::BIGINT AS b, count(*) FILTER (WHERE c.id % 3 = 2)::BIGINT AS d FROM c JOIN s USING (component) GROUP BY ALL")
+def cluster_histogram(spark, sf_dir):
+    members = graphs.sized(_clusters(spark, sf_dir)[1], 3, 40)
+    code = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("d")
+    return members.withColumn("code", code).groupBy("component", "size").pivot("code", ["a", "b", "d"]).count().na.fill(0, ["a", "b", "d"])
+
+
+@query(f"{_CC} SELECT component, round(avg(x), 6) AS mean, round(median(x), 6) AS mid, count(*)::BIGINT AS n, round(coalesce(stddev_samp(y), 0), 6) AS sd, round(max(x) - min(x), 6) AS extent FROM c JOIN p USING (id) GROUP BY 1")
+def cluster_score(spark, sf_dir):
+    p, c = _clusters(spark, sf_dir)
+    return c.join(p, "id").groupBy("component").agg(
+        F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("mid"), F.count(F.lit(1)).alias("n"),
+        F.round(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), 6).alias("sd"), F.round(F.max("x") - F.min("x"), 6).alias("extent"),
+    )
+
+
+@query(f"{_CC} SELECT id FROM c WHERE id = component")
+def positional_dedup(spark, sf_dir):
+    return neighbours.greedy_thin(points(spark, sf_dir), "id", ["x", "y"], 2.0).select("id")
+
+
+@query(f"WITH {_EDGES} SELECT src % 20 AS a, dst % 20 AS b, round(sum(dist), 6) AS dist FROM e GROUP BY 1, 2")
+def adjacency(spark, sf_dir):
+    edges = neighbours.radius_join(points(spark, sf_dir), "id", ["x", "y"], 2.0).select((F.col("src") % 20).alias("a"), (F.col("dst") % 20).alias("b"), "dist")
+    return graphs.adjacency(edges, "a", "b", "dist").select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH {_EDGES} SELECT src, list(dst ORDER BY round(dist, 9), dst) AS near FROM e GROUP BY 1")
+def neighbour_lists(spark, sf_dir):
+    edges = neighbours.radius_join(points(spark, sf_dir), "id", ["x", "y"], 2.0).withColumn("dist", F.round("dist", 9))
+    return graphs.neighbour_lists(edges, "src", "dst", "dist").select("src", F.transform("near", lambda n: n["dst"]).alias("near"))
+
+
+@query()
+def lsh_neighbours(spark, sf_dir):
+    """Approximate radius join; its recall is tested against the exact one."""
+    return neighbours.approximate_neighbours(_vectors(spark, sf_dir), "vec_id", "v", 0.6)
