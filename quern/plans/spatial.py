@@ -88,12 +88,12 @@ def cluster_histogram(spark, sf_dir):
     return members.withColumn("code", code).groupBy("component", "size").pivot("code", ["a", "b", "d"]).count().na.fill(0, ["a", "b", "d"])
 
 
-@query(f"{_CC} SELECT component, round(avg(x), 6) AS mean, round(median(x), 6) AS mid, count(*)::BIGINT AS n, round(coalesce(stddev_samp(y), 0), 6) AS sd, round(max(x) - min(x), 6) AS extent FROM c JOIN p USING (id) GROUP BY 1")
+@query(f"{_CC} SELECT component, round(avg(x), 10) AS mean, round(median(x), 10) AS mid, count(*)::BIGINT AS n, round(coalesce(stddev_samp(y), 0), 10) AS sd, round(max(x) - min(x), 10) AS extent FROM c JOIN p USING (id) GROUP BY 1")
 def cluster_score(spark, sf_dir):
     p, c = _clusters(spark, sf_dir)
     return c.join(p, "id").groupBy("component").agg(
-        F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("mid"), F.count(F.lit(1)).alias("n"),
-        F.round(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), 6).alias("sd"), F.round(F.max("x") - F.min("x"), 6).alias("extent"),
+        F.round(F.avg("x"), 10).alias("mean"), F.round(F.median("x"), 10).alias("mid"), F.count(F.lit(1)).alias("n"),
+        F.round(F.coalesce(F.stddev_samp("y"), F.lit(0.0)), 10).alias("sd"), F.round(F.max("x") - F.min("x"), 10).alias("extent"),
     )
 
 

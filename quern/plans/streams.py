@@ -1 +1,58 @@
+"""Streaming queries over the events table."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quern.plans.storage import scratch
+from quern.registry import query, table
+from quern.streaming import events as streams
+
+
+def _stream(spark, sf_dir):
+    """The events as a stream of a few files in order of time."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "events")
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    return streams.read_events(spark, path, rows.schema, files_at_once=100)
+
+
+def _end(stream, mode):
+    return streams.run_to_end(stream, f"q{uuid.uuid4().hex}", mode)
+
+
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    out = _end(streams.windowed_counts(_stream(spark, sf_dir), "1 day"), "complete")
+    return out.select(F.col("start").cast("long").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH w AS (SELECT epoch(date_trunc('day', ts))::BIGINT - 86400 * k AS start, event_type FROM events, (VALUES (0), (1)) t(k))
+SELECT start, event_type, count(*)::BIGINT AS n FROM w GROUP BY 1, 2""")
+def stream_sliding(spark, sf_dir):
+    out = _end(streams.windowed_counts(_stream(spark, sf_dir), "2 days", "1 day"), "complete")
+    return out.select(F.col("start").cast("long").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts))::BIGINT AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    out = _end(streams.sessions(_stream(spark, sf_dir), "6 hours"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def stream_dedup(spark, sf_dir):
+    return _end(streams.first_seen(_stream(spark, sf_dir), ["event_id"]), "append").select("event_id")
+
+
+@query()
+def stream_factors(spark, sf_dir):
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    rows.repartition(2).write.parquet(path)
+    model = streams.learn_factors(spark.readStream.schema(rows.schema).parquet(path), "v", 4, 64, f"{scratch(spark)}-state")
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(model.d)], "i int, direction array<double>")
