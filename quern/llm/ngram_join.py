@@ -8,10 +8,10 @@ range of their sizes. The tree is traversed against itself; a pair of nodes is
 left out if no two sets below can overlap enough. What is left is compared
 exactly, and the links are joined into components.
 
-Groups are joined into spanning trees, not expanded into pairs: a pair whose
-classes hang together already isn't compared, and a group is looked at again,
-without the pairs that failed, until all pairs that the tree lets pass hang
-together or have failed.
+Groups are joined into spanning trees, not expanded into pairs: each group gives
+a spanning forest of the pairs that its tree lets pass. What these forests
+connect is a block; every link lies inside of one. Each set of a block is
+brought there once, and a second traversal compares exactly.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ LIKE = (3, 4)
 HOT_DOCS, HOT_SHARE, HOT_LEAST, MAX_HOT = 4_000, 0.002, 8, 50_000
 #: Bits of a bitmap for each shingle, about.
 BITS = 4
-LEAF, FAN = 8, 8
+LEAF, FAN = 64, 8
+#: Bits of the matrix of sets by shared shingles that a group may take; larger groups are compared set by set.
+MAX_MATRIX = 1 << 31
 #: Identifiers that are broadcast, at most.
 MAX_BROADCAST = 500_000
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
@@ -168,39 +170,93 @@ class Union:
         return x != y
 
 
-def spanning_pairs(sizes: list[int], maps: list[np.ndarray], linked=(), failed=frozenset()) -> list[tuple[int, int]]:
-    """Pairs to compare, by places in the order of size: those that the tree lets pass, but for pairs that hang together already."""
-    p, q = LIKE
-    union = Union(len(sizes))
-    for x, y in linked:
-        union.join(x, y)
-    out = []
-
-    def try_pair(x: int, y: int) -> None:
-        if sizes[x] * q < sizes[y] * p or union.root(x) == union.root(y) or (x, y) in failed:
-            return
-        if most_overlap(sizes[x], maps[x], sizes[y], maps[y]) >= least_overlap(sizes[x], sizes[y]):
-            out.append((x, y))
-            union.join(x, y)
-
-    # Neighbours first: among many copies, they join what then needs no traversal.
-    for x in range(len(sizes) - 1):
-        try_pair(x, x + 1)
+def _node_pairs(sizes: list[int], maps: list[np.ndarray], union: Union) -> Iterator[tuple[Node, Node]]:
+    """Dual traversal: pairs of leaves that may have links between sets that don't hang together yet."""
     tree = signature_tree(sizes, maps)
     todo = [(tree, tree)]
     while todo:
         a, b = todo.pop()
         if not _may_overlap(a, b):
             continue
-        if len({union.root(i) for n in ((a,) if a is b else (a, b)) for i in range(n.low, n.high)}) == 1:
+        root = union.root(a.low)
+        if all(union.root(i) == root for n in ((a,) if a is b else (a, b)) for i in range(n.low, n.high)):
             continue
         if a.children or b.children:
-            left, right = a.children or (a,), b.children or (b,)
-            todo += [(x, y) for x in left for y in right if x.low <= y.low]
+            todo += [(x, y) for x in a.children or (a,) for y in b.children or (b,) if x.low <= y.low]
         else:
-            for x in range(a.low, a.high):
-                for y in range(max(x + 1, b.low), b.high):
-                    try_pair(x, y)
+            yield a, b
+
+
+def _passing(a: Node, b: Node, sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """For two leaves, which pairs of sets the bitmaps and sizes let pass."""
+    p, q = LIKE
+    width = min(len(maps[i]) for n in (a, b) for i in range(n.low, n.high))
+    left = np.stack([fold(maps[i], width) for i in range(a.low, a.high)]).view(np.uint64)
+    right = np.stack([fold(maps[i], width) for i in range(b.low, b.high)]).view(np.uint64)
+    n, m = sizes[a.low : a.high], sizes[b.low : b.high]
+    shared = np.stack([np.bitwise_count(row & right).sum(axis=1, dtype=np.int64) for row in left])
+    # A bit that one set has alone stands for a shingle of its own at least.
+    alone_n = np.bitwise_count(left).sum(axis=1, dtype=np.int64)[:, None] - shared
+    alone_m = np.bitwise_count(right).sum(axis=1, dtype=np.int64)[None, :] - shared
+    most = np.minimum(n[:, None] - alone_n, m[None, :] - alone_m)
+    total = n[:, None] + m[None, :]
+    out = (most * (p + q) >= p * total) & (n[:, None] * q >= m[None, :] * p) & (m[None, :] * q >= n[:, None] * p)
+    return np.triu(out, 1) if a is b else out
+
+
+def spanning_pairs(sizes: list[int], maps: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places in the order of size: a spanning forest of the pairs that the tree lets pass."""
+    union, out = Union(len(sizes)), []
+
+    def try_pair(x: int, y: int) -> None:
+        if union.root(x) != union.root(y):
+            out.append((x, y))
+            union.join(x, y)
+
+    # Neighbours first: among many copies, they join what then needs no traversal.
+    for x in range(len(sizes) - 1):
+        if most_overlap(sizes[x], maps[x], sizes[x + 1], maps[x + 1]) >= least_overlap(sizes[x], sizes[x + 1]):
+            try_pair(x, x + 1)
+    n = np.array(sizes)
+    for a, b in _node_pairs(sizes, maps, union):
+        for x, y in np.argwhere(_passing(a, b, n, maps)).tolist():
+            try_pair(a.low + x, b.low + y)
+    return out
+
+
+def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets in order of size that join all that hang together."""
+    p, q = LIKE
+    sizes = [len(s) for s in sets]
+    n = np.array(sizes)
+    union = Union(len(sets))
+    shared, count = np.unique(np.concatenate(sets), return_counts=True)
+    shared = shared[count > 1]
+    matrix = None
+    if len(sets) * max(64, len(shared)) <= MAX_MATRIX:
+        matrix = np.zeros((len(sets), -(-max(1, len(shared)) // 64) * 8), np.uint8)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(shared, s)
+            at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == s)] if len(shared) else at[:0]
+            bits = np.zeros(matrix.shape[1] * 8, np.uint8)
+            bits[at] = 1
+            matrix[i] = np.packbits(bits, bitorder="little")
+        matrix = matrix.view(np.uint64)
+    maps, out = [bitmap(s) for s in sets], []
+    for a, b in _node_pairs(sizes, maps, union):
+        some = _passing(a, b, n, maps)
+        for x in np.flatnonzero(some.any(axis=1)).tolist():
+            x_at, root = a.low + x, union.root(a.low + x)
+            others = [b.low + y for y in np.flatnonzero(some[x]).tolist() if union.root(b.low + y) != root]
+            if not others:
+                continue
+            if matrix is not None:
+                overlap = np.bitwise_count(matrix[others] & matrix[x_at]).sum(axis=1, dtype=np.int64)
+            else:
+                overlap = np.array([len(np.intersect1d(sets[x_at], sets[y], assume_unique=True)) for y in others])
+            for y in np.array(others)[overlap * (p + q) >= p * (n[x_at] + n[others])].tolist():
+                if union.join(x_at, y):
+                    out.append((x_at, y))
     return out
 
 
@@ -290,60 +346,42 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lists(*rest), pa.list_(pa.int64()))], ["members"])
 
 
-def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (list, kind, n, x, y, bits, linked) sorted by list and kind: pairs of each list to compare next.
+def _by_list(finish):
+    """A function over batches sorted by their first column: ``finish`` gets each of its values and its rows, and yields rows of three."""
 
-    Kind 0 are pairs compared before, kind 1 members with their sizes and bitmaps.
-    """
-
-    def finish(name, pairs, members):
-        members.sort(key=lambda m: (m[0], m[1]))
-        ids = [m[1] for m in members]
-        place = {x: i for i, x in enumerate(ids)}
-        told = {True: [], False: []}
-        for x, y, linked in pairs:
-            told[linked].append(tuple(sorted((place[x], place[y]))))
-        maps = [np.frombuffer(m[2], np.uint8) for m in members]
-        for x, y in spanning_pairs([m[0] for m in members], maps, told[True], frozenset(told[False])):
-            yield name, min(ids[x], ids[y]), max(ids[x], ids[y])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != name:
+                    if held:
+                        out += finish(name, held)
+                    name, held = row[0], []
+                held.append(row)
+            yield made(out)
+        if held:
+            yield made(list(finish(name, held)))
 
     def made(rows):
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "x", "y"])
 
-    name, pairs, members = None, [], []
-    for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != name:
-                if members:
-                    out += finish(name, pairs, members)
-                name, pairs, members = row[0], [], []
-            if row[1] == 0:
-                pairs.append((row[3], row[4], row[6]))
-            else:
-                members.append((row[2], row[3], row[5]))
-        yield made(out)
-    if members:
-        yield made(list(finish(name, pairs, members)))
+    return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (y, x, set) sorted by y, its own row (x null) first: whether x and y are similar enough."""
-    now, own = None, None
-    for batch in batches:
-        rows = []
-        for y, x, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if x is None:
-                now, own = y, np.frombuffer(some, np.uint64)
-                continue
-            if y != now:
-                raise ValueError("a set is missing")
-            other = np.frombuffer(some, np.uint64)
-            shared = len(np.intersect1d(own, other, assume_unique=True))
-            rows.append((x, y, shared >= least_overlap(len(own), len(other))))
-        a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["x", "y", "linked"])
+def _span(name, rows):
+    """Of members (list, n, x, bits): a spanning forest of the pairs that pass."""
+    some = sorted((r[1], r[2], r[3]) for r in rows)
+    for x, y in spanning_pairs([m[0] for m in some], [np.frombuffer(m[2], np.uint8) for m in some]):
+        yield name, some[x][1], some[y][1]
+
+
+def _finish(name, rows):
+    """Of rows (block, x, set): the links that join all that hang together."""
+    some = sorted(((np.frombuffer(r[2], np.uint64), r[1]) for r in rows), key=lambda r: (len(r[0]), r[1]))
+    for x, y in exact_links([r[0] for r in some]):
+        yield name, some[x][1], some[y][1]
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -360,16 +398,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "id long, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x, y, linked) of the distinct pairs, by their whole sets."""
-    wanted = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "wanted")
-    sets = stored(_sets_of(docs, wanted).groupBy("id").agg(F.first("set").alias("set")), "sets")
-    brought = pairs.join(sets, F.col("x") == F.col("id")).select("y", "x", "set")
-    own = pairs.select("y").distinct().join(sets, F.col("y") == F.col("id")).select("y", F.lit(None).cast("long").alias("x"), "set")
-    both = own.unionByName(brought).repartition("y").sortWithinPartitions("y", F.col("x").asc_nulls_first())
-    return both.mapInArrow(_compare, "x long, y long, linked boolean")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for all ids in ``edges`` (x, y): the least id that edges lead to. Alternates large and small stars."""
     now = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
@@ -421,35 +449,19 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         "lists",
     )
     marks = firsts.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    members = stored(
-        lists.select("list", F.explode("members").alias("x")).distinct().join(marks, F.col("x") == F.col("doc_id")).select(
-            "list", F.lit(1).alias("kind"), "n", "x", F.lit(None).cast("long").alias("y"), "bits", F.lit(None).cast("boolean").alias("linked")
-        ),
-        "members",
-    )
-    shape = "list long, x long, y long"
-    in_lists = lambda df: df.repartition("list").sortWithinPartitions("list", "kind").mapInArrow(_span, shape)
-    pairs = stored(in_lists(members), "pairs")
-    links, told = [], None
-    while True:
-        distinct = pairs.select("x", "y").distinct()
-        results = stored(verified(distinct, named), "verified")
-        links.append(results.where("linked").select("x", "y"))
-        tried = pairs.join(results, ["x", "y"]).select(
-            "list", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("n"), "x", "y", F.lit(None).cast("binary").alias("bits"), "linked"
-        )
-        told = tried if told is None else told.unionByName(tried)
-        open_lists = stored(tried.where("not linked").select("list").distinct(), "open")
-        if open_lists.isEmpty():
-            break
-        # Lists all of whose pairs were found linked are done.
-        told = stored(told.join(open_lists, "list", "left_semi"), "told")
-        pairs = stored(in_lists(told.unionByName(members.join(open_lists, "list", "left_semi"))), "pairs")
-        if pairs.isEmpty():
-            break
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    members = lists.select("list", F.explode("members").alias("x")).distinct().join(marks, F.col("x") == F.col("doc_id"))
+
+    def in_groups(df: DataFrame, finish) -> DataFrame:
+        by = df.columns[0]
+        return df.repartition(by).sortWithinPartitions(by).mapInArrow(_by_list(finish), "list long, x long, y long").select("x", "y")
+
+    pairs = stored(in_groups(members.select("list", "n", "x", "bits"), _span).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    blocks = stored(
+        ids.join(components(pairs), "id", "left").select("id", F.coalesce("root", "id").alias("block")), "blocks"
+    )
+    sets_in = _sets_of(named, blocks.select("id")).groupBy("id").agg(F.min("set").alias("set"))
+    edges = in_groups(sets_in.join(blocks, "id").select("block", "id", "set"), _finish)
     roots = components(edges)
     of_class = classes.join(roots, F.col("class_id") == F.col("id"), "left").select(
         "digest", F.coalesce("root", "class_id").alias("component")
