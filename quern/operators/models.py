@@ -58,12 +58,12 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def report(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall and F of scores above the threshold."""
+    """Accuracy, precision, recall and F of scores above the threshold; null where there is nothing to divide by."""
     said, true = F.col(score) > threshold, F.col(label) == 1
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     sums = df.agg(count(said & true).alias("tp"), count(said & ~true).alias("fp"), count(~said & true).alias("fn"), count(said == true).alias("ok"), F.count(F.lit(1)).alias("n"))
-    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
-    return sums.select((F.col("ok") / F.col("n")).alias("accuracy"), p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f"))
+    p, r = (F.try_divide("tp", F.col("tp") + F.col(other)) for other in ("fp", "fn"))
+    return sums.select(F.try_divide("ok", "n").alias("accuracy"), p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f"))
 
 
 def regression_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -99,3 +99,22 @@ def query_by_entropy(probabilities: DataFrame, key: str, p: str, n: int) -> Data
 def query_least_confident(probabilities: DataFrame, key: str, p: str, n: int) -> DataFrame:
     """The ``n`` keys whose likeliest label is least likely."""
     return probabilities.groupBy(key).agg(F.max(p).alias("top")).orderBy("top", key).limit(n)
+
+
+def truncate_classes(df: DataFrame, label: str, key: str, most: int) -> DataFrame:
+    """At most so many rows of each class: the first by the MD5 of the key."""
+    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
+    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
+def draw_multinomial(spark, shares: dict, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows (draw, value), each value with its share; the draws depend on the seed and their number alone."""
+    total, ends, so_far = float(sum(shares.values())), [], 0.0
+    for value, share in shares.items():
+        so_far += share / total
+        ends.append((value, so_far))
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
+    chosen = F.lit(ends[-1][0])
+    for value, end in reversed(ends[:-1]):
+        chosen = F.when(F.col("u") < end, F.lit(value)).otherwise(chosen)
+    return spark.range(n).withColumn("u", unit).select(F.col("id").alias("draw"), chosen.alias("value"))

@@ -124,3 +124,27 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
         if batch.num_rows:
             yield np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+
+
+def match_nearest(left: DataFrame, right: DataFrame, key: str, other: str, half: dict[str, float]) -> DataFrame:
+    """key, other, square: for each row of ``left`` the row of ``right`` nearest to it in a box; rows without any are left out.
+
+    Both sides have the columns of ``half``; cells of that size are equi-joined.
+    """
+    names = list(half)
+    a = left.select(F.col(key), *(F.col(c).alias(f"a_{c}") for c in names), *(c.alias(f"g{i}") for i, c in enumerate(_cells(half))))
+    b = right.select(F.col(other), *(F.col(c).alias(f"b_{c}") for c in names), *(c.alias(f"g{i}") for i, c in enumerate(_cells(half))))
+    for i in range(len(names)):
+        b = b.withColumn(f"g{i}", F.explode(F.array(F.col(f"g{i}") - 1, F.col(f"g{i}"), F.col(f"g{i}") + 1)))
+    pairs = a.join(b, [f"g{i}" for i in range(len(names))])
+    for c, h in half.items():
+        pairs = pairs.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= h)
+    square = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in names), F.lit(0.0))
+    return pairs.groupBy(key).agg(F.min_by(other, F.struct(square, F.col(other))).alias(other), F.min(square).alias("square"))
+
+
+def circular_trim(members: DataFrame, group: str, key: str, columns: list[str], radius: float) -> DataFrame:
+    """Members within the radius of their group's first member."""
+    first = members.groupBy(group).agg(F.min_by(F.struct(*columns), key).alias("_c"))
+    square = sum(((F.col(c) - F.col(f"_c.{c}")) * (F.col(c) - F.col(f"_c.{c}")) for c in columns), F.lit(0.0))
+    return members.join(first, group).where(square <= radius * radius).drop("_c")

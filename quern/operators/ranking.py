@@ -21,13 +21,13 @@ def merge_truth(scored: DataFrame, truth: DataFrame, keys: list[str], score: str
 def tie_aware_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision in which tied rows take the precision at the end of their run.
 
-    Rows are first folded by score, so the one global sort has a row for each
+    Null without positives. Rows are first folded by score, so the one global sort has a row for each
     distinct score.
     """
     folded = df.groupBy(score).agg(F.sum(label).alias("hits"), F.count(F.lit(1)).alias("rows"))
     above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     precision = F.sum("hits").over(above) / F.sum("rows").over(above)
-    return folded.select("hits", precision.alias("p")).agg((F.sum(F.col("p") * F.col("hits")) / F.sum("hits")).alias("ap"))
+    return folded.select("hits", precision.alias("p")).agg(F.try_divide(F.sum(F.col("p") * F.col("hits")), F.sum("hits")).alias("ap"))
 
 
 def precision_recall(df: DataFrame, score: str, label: str, ties: list[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def precision_recall(df: DataFrame, score: str, label: str, ties: list[str]) ->
     ranked = df.select(
         F.row_number().over(order).alias("k"), F.col(label), F.sum(label).over(so_far).alias("hits"), F.sum(label).over(Window.partitionBy()).alias("all")
     )
-    return ranked.select("k", label, (F.col("hits") / F.col("k")).alias("prec"), (F.col("hits") / F.col("all")).alias("recall"))
+    return ranked.select("k", label, (F.col("hits") / F.col("k")).alias("prec"), F.try_divide("hits", "all").alias("recall"))
 
 
 def blend(df: DataFrame, first: str, second: str, ties: list[str]) -> DataFrame:

@@ -76,3 +76,24 @@ def colour_feature(spark, sf_dir):
     five = F.transform(F.slice("v", 1, 5), lambda x: F.abs(x) + 0.01)
     scaled = spectra_of(spark, sf_dir).select("vec_id", five.alias("f")).select("vec_id", F.transform(arrays.normalized(F.col("f"), "s1"), lambda x: x * 5).alias("f"))
     return scaled.select("vec_id", F.round(F.col("f")[0], 5).alias("first"), F.round(F.col("f")[4], 5).alias("last"))
+
+
+@query()
+def smooth_resample(spark, sf_dir):
+    return spectra.smooth_resample(spectra_of(spark, sf_dir), "vec_id", "v", 64, 32)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice / sqrt(o_custkey + 1) >= 2000 AND o_orderdate >= TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def survey_cut(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    strong = F.col("o_totalprice") / F.sqrt(F.col("o_custkey") + 1) >= 2000
+    late = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") != "P") & strong & late).join(seen, "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT vec_id, 'https://example.org/cutout?ra=' || printf('%.6f', (vec_id * 37 % 360)::DOUBLE) || '&dec=' || printf('%.6f', (vec_id % 90)::DOUBLE) || '&scale=0.4' AS address FROM embeddings")
+def cutout_addresses(spark, sf_dir):
+    from quern.functions.identifiers import cutout_address
+
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select("vec_id", cutout_address("https://example.org/cutout", (v * 37 % 360).cast("double"), (v % 90).cast("double")).alias("address"))

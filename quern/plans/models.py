@@ -211,3 +211,34 @@ def grouped_mixture(spark, sf_dir):
     rows = _vectors(spark, sf_dir).withColumn("v", F.slice("v", 1, 2))
     model = mixtures.fit_group_mixture(rows, "label", "v", 2, 2, 3, steps=5)
     return mixtures.score_groups(rows, "label", "v", 2, model)
+
+
+@query("SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM embeddings) WHERE r <= 20")
+def truncate_classes(spark, sf_dir):
+    return models.truncate_classes(table(spark, sf_dir, "embeddings"), "label", "vec_id", 20).select("vec_id", "label")
+
+
+@query()
+def multinomial_draws(spark, sf_dir):
+    return models.draw_multinomial(spark, {"a": 1, "b": 2, "c": 3, "d": 4}, 10_000)
+
+
+@query()
+def gmm_select(spark, sf_dir):
+    _, scores = mixtures.select_mixture(_features(spark, sf_dir).cache(), "features", DIMS, [2, 3])
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(scores.items())], "k int, criterion double")
+
+
+@query()
+def factor_models(spark, sf_dir):
+    """Squared errors of rank-2 factorisations of each label's vectors."""
+    import pandas as pd
+
+    methods = {"least_squares": factors.alternating_least_squares, "nonnegative": factors.nonnegative_factors, "svd": factors.svd_factors}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.abs(np.array(group["v"].tolist()))
+        errors = {n: float(((x - (f := m(x, 2))[0].T @ f[1]) ** 2).sum()) for n, m in methods.items()}
+        return pd.DataFrame([{"label": group["label"].iloc[0]} | errors])
+
+    return _vectors(spark, sf_dir).groupBy("label").applyInPandas(run, "label int, " + ", ".join(f"{n} double" for n in methods))

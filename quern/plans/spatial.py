@@ -118,3 +118,20 @@ def neighbour_lists(spark, sf_dir):
 def lsh_neighbours(spark, sf_dir):
     """Approximate radius join; its recall is tested against the exact one."""
     return neighbours.approximate_neighbours(_vectors(spark, sf_dir), "vec_id", "v", 0.6)
+
+
+@query("""WITH a AS (SELECT c_custkey, (c_custkey * 7 % 360)::DOUBLE AS ra, (c_custkey * 13 % 90)::DOUBLE AS dec FROM customer),
+b AS (SELECT s_suppkey, (s_suppkey * 11 % 360)::DOUBLE AS ra, (s_suppkey * 29 % 90)::DOUBLE AS dec FROM supplier),
+m AS (SELECT c_custkey, s_suppkey, pow(a.ra - b.ra, 2) + pow(a.dec - b.dec, 2) AS square FROM a, b WHERE abs(a.ra - b.ra) <= 9 AND abs(a.dec - b.dec) <= 6),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY square, s_suppkey) AS k FROM m) SELECT c_custkey, s_suppkey, square FROM r WHERE k = 1""")
+def catalogue_match(spark, sf_dir):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    a = table(spark, sf_dir, "customer").select("c_custkey", (c * 7 % 360).cast("double").alias("ra"), (c * 13 % 90).cast("double").alias("dec"))
+    b = table(spark, sf_dir, "supplier").select("s_suppkey", (s * 11 % 360).cast("double").alias("ra"), (s * 29 % 90).cast("double").alias("dec"))
+    return neighbours.match_nearest(a, b, "c_custkey", "s_suppkey", {"ra": 9.0, "dec": 6.0})
+
+
+@query(f"{_CC}, f AS (SELECT component, x AS cx, y AS cy FROM c JOIN p USING (id) WHERE id = component) SELECT c.id FROM c JOIN p ON p.id = c.id JOIN f ON f.component = c.component WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 9")
+def circular_trim(spark, sf_dir):
+    p, c = _clusters(spark, sf_dir)
+    return neighbours.circular_trim(c.join(p, "id"), "component", "id", ["x", "y"], 3.0).select("id")

@@ -160,3 +160,15 @@ def test_mixture_selection(spark):
     x = np.vstack([rng.standard_normal((150, 2)) * 0.1 + m for m in ((0, 1), (1, 0), (0, 0))])
     df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").select(array_to_vector("v").alias("f"))
     assert mixtures.select_mixture(df, "f", 2, [2, 3])[0] == 3
+
+
+def test_multinomial_and_smoothing(spark):
+    from quern.operators import models, spectra
+
+    counts = {r.value: r["count"] / 20000 for r in models.draw_multinomial(spark, {"a": 1, "b": 2, "c": 3, "d": 4}, 20000).groupBy("value").count().collect()}
+    assert all(abs(counts[v] - p) < 0.01 for v, p in zip("abcd", (0.1, 0.2, 0.3, 0.4)))
+    line = [float(2 * i + 1) for i in range(10)]
+    df = spark.createDataFrame([(1, line), (2, [0.0, 1.0] * 5)], "id int, v array<double>")
+    got = {r.id: r.resampled for r in spectra.smooth_resample(df, "id", "v", 10, 19).collect()}
+    assert np.allclose(got[1], [1 + i for i in range(19)])
+    assert np.std(got[2]) < 0.3
