@@ -9,7 +9,10 @@ from quern.functions import scores
 from quern.operators import intervals, ranking
 from quern.registry import query, table
 
-DAY = F.expr("INTERVAL 1 DAY")
+def _day() -> F.Column:
+    return F.expr("INTERVAL 1 DAY")
+
+
 #: An exposure lasts a day; a condition may follow for another.
 _X = """x AS (SELECT user_id AS person, json_extract_string(props, '$.k')::INT % 5 AS drug, ts AS s, ts + INTERVAL 1 DAY AS e
   FROM events WHERE event_type IN ('click', 'view')),
@@ -25,7 +28,7 @@ def _k() -> F.Column:
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    return events.select(F.col("user_id").alias("person"), (_k() % 5).alias("drug"), F.col("ts").alias("s"), (F.col("ts") + DAY).alias("e"))
+    return events.select(F.col("user_id").alias("person"), (_k() % 5).alias("drug"), F.col("ts").alias("s"), (F.col("ts") + _day()).alias("e"))
 
 
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
