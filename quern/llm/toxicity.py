@@ -4,8 +4,11 @@ One zstandard dictionary is trained on ordinary text, another on what is
 peculiar to toxic text. A text is cut into windows of a few words, and each
 window is compressed with the ordinary dictionary alone and with the toxic one
 added. A window that gets shorter by the toxic dictionary is near to toxic
-text. Sums over a text's windows are turned into a score by thresholds that
-are calibrated on labelled texts which the dictionaries haven't seen.
+text. This is done in two views: words as they are, and words with their
+beginnings in upper case, so that what begins a word isn't matched by what
+stands inside of others. Sums over a text's windows are turned into a score by
+thresholds that are calibrated on labelled texts which the dictionaries haven't
+seen.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from quern.llm.quality import labelled_sample
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 3_000, 20_000
 WINDOW_WORDS = 6
 LEVEL = 3
+#: Bytes at the beginning of a word that are in upper case, in each view.
+VIEWS = (0, 6)
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 4_096
 GRAM = 5
 #: A piece of a word is peculiar to toxic text if it's so much more frequent there, in so many contexts.
@@ -34,17 +39,19 @@ PECULIAR, CONTEXTS, WORDS_EACH = 6.0, 5, 2
 _FRAME = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
 
 
-def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
+def words(text: str, head: int = 0) -> list[bytes]:
+    """Words in lower case, the first ``head`` bytes of each in upper case."""
+    found = text.lower().encode("utf-8", "surrogatepass").split()
+    return [w[:head].upper() + w[head:] for w in found] if head else found
 
 
 def _joined(some: list[bytes]) -> bytes:
     return b" " + b" ".join(some) + b" "
 
 
-def windows(text: str) -> list[bytes]:
+def windows(text: str, head: int = 0) -> list[bytes]:
     """The whole text in windows of WINDOW_WORDS words."""
-    w = words(text)
+    w = words(text, head)
     return [_joined(w[i : i + WINDOW_WORDS]) for i in range(0, len(w), WINDOW_WORDS)]
 
 
@@ -65,11 +72,11 @@ def _train(size: int, samples: list[bytes], **how) -> bytes:
         return b"".join(samples)[-size:].rjust(8)
 
 
-def _gram_counts(texts: list[str]) -> tuple[Counter, int]:
+def _gram_counts(texts: list[str], head: int) -> tuple[Counter, int]:
     """How many distinct pairs of a word and the word before it have each piece of GRAM bytes in the word; copies count once."""
     pairs: set[tuple[bytes, bytes]] = set()
     for text in texts:
-        w = words(text)
+        w = words(text, head)
         pairs.update(zip([b"", *w], w))
     out: Counter = Counter()
     for word, n in Counter(w for _, w in pairs).items():
@@ -83,15 +90,15 @@ def _grams(word: bytes) -> set[bytes]:
     return {spaced[i : i + GRAM] for i in range(len(spaced) - GRAM + 1)}
 
 
-def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+def toxic_samples(toxic: list[str], ordinary: list[str], head: int = 0) -> list[bytes]:
     """What the toxic dictionary is trained on: words with a piece that is peculiar to toxic text.
 
     For each such piece, the most frequent pieces first, words with it are taken
     until WORDS_EACH have it, the most frequent words first. So no frequent
     piece, nor any language, crowds out the others.
     """
-    in_toxic, n_toxic = _gram_counts(toxic)
-    in_ordinary, n_ordinary = _gram_counts(ordinary)
+    in_toxic, n_toxic = _gram_counts(toxic, head)
+    in_ordinary, n_ordinary = _gram_counts(ordinary, head)
     least = max(CONTEXTS, len(toxic) * 0.02)
     peculiar = {
         gram: n
@@ -99,7 +106,7 @@ def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         if n >= least and n * (n_ordinary + 1) >= PECULIAR * (in_ordinary[gram] + 0.5) * (n_toxic + 1)
     }
     having: dict[bytes, list[bytes]] = {gram: [] for gram in peculiar}
-    found = Counter(w for t in set(toxic) for w in words(t))
+    found = Counter(w for t in set(toxic) for w in words(t, head))
     for word in sorted(found, key=lambda w: (-found[w], w)):
         for gram in _grams(word):
             if gram in having:
@@ -118,32 +125,45 @@ def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    ordinary: bytes
-    toxic: bytes
+    """For each view its ordinary and its toxic dictionary; weights of what the toxic ones save."""
+
+    dictionaries: tuple[tuple[int, bytes, bytes], ...]
     weights: tuple[float, ...]
 
     def scorer(self):
-        plain = _compressor(self.ordinary)
-        # Nearest to the window, so that matches in it cost least.
-        added = _compressor(self.ordinary + self.toxic)
+        views = _compressors(self.dictionaries)
 
         def score(text: str | None) -> float:
-            x = distances(text, plain, added)
+            x = distances(text, views)
             return float(1 / (1 + np.exp(-np.clip(x @ np.asarray(self.weights), -30, 30))))
 
         return score
 
 
-def distances(text: str | None, plain: zstandard.ZstdCompressor, added: zstandard.ZstdCompressor) -> np.ndarray:
-    """What the toxic dictionary saves in a text's windows, summed in several ways; the first is constant."""
-    all_windows = windows(text) if text else []
-    n = len(all_windows)
-    if not n:
-        return np.array([1.0, 0, 0, 0, 0, 0, 0])
-    saved = np.array([len(plain.compress(w)) - len(added.compress(w)) for w in all_windows], float)
-    root = np.sqrt(n)
-    near = (saved >= 3).sum()
-    return np.array([1.0, saved.sum() / root, saved.sum() / n, near / root, (saved >= 2).sum() / n, saved.max(), np.log1p(n)])
+#: Sums for each view, and in all with the constant and the length.
+SUMS = 5
+FEATURES = 2 + SUMS * len(VIEWS)
+
+
+def _compressors(dictionaries) -> list[tuple]:
+    # The toxic dictionary stands nearest to the window, so that matches in it cost least.
+    return [(head, _compressor(plain), _compressor(plain + toxic)) for head, plain, toxic in dictionaries]
+
+
+def distances(text: str | None, views: list[tuple]) -> np.ndarray:
+    """A constant, the logarithm of the number of windows, and what the toxic dictionary of each view saves, summed in several ways."""
+    out = [1.0, 0.0]
+    for head, plain, added in views:
+        all_windows = windows(text, head) if text else []
+        n = len(all_windows)
+        if not n:
+            out += [0.0] * SUMS
+            continue
+        saved = np.array([len(plain.compress(w)) - len(added.compress(w)) for w in all_windows], float)
+        root = np.sqrt(n)
+        out[1] = np.log1p(n)
+        out += [saved.sum() / root, saved.sum() / n, (saved >= 3).sum() / root, (saved >= 2).sum() / n, saved.max()]
+    return np.array(out)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
@@ -173,15 +193,21 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     """
     if not toxic or not ordinary:
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        return Model(b"        ", b"        ", (float(np.log(share / (1 - share))), 0, 0, 0, 0, 0, 0))
+        return Model(tuple((head, b"        ", b"        ") for head in VIEWS), (float(np.log(share / (1 - share))), *[0.0] * (FEATURES - 1)))
     build = lambda texts: [t for i, t in enumerate(texts) if i % 3 or len(texts) < 6]
     held = lambda texts: [t for i, t in enumerate(texts) if not i % 3 or len(texts) < 6]
-    plain = _train(ORDINARY_BYTES, [w for t in build(ordinary) for w in windows(t)], k=64, d=8)
-    toxic_bytes = _train(TOXIC_BYTES, toxic_samples(build(toxic), build(ordinary)), k=32, d=6)
-    a, b = _compressor(plain), _compressor(plain + toxic_bytes)
-    x = np.array([distances(t, a, b) for t in [*held(toxic), *held(ordinary)]])
+    dictionaries = tuple(
+        (
+            head,
+            _train(ORDINARY_BYTES, [w for t in build(ordinary) for w in windows(t, head)], k=64, d=8),
+            _train(TOXIC_BYTES, toxic_samples(build(toxic), build(ordinary), head), k=32, d=6),
+        )
+        for head in VIEWS
+    )
+    views = _compressors(dictionaries)
+    x = np.array([distances(t, views) for t in [*held(toxic), *held(ordinary)]])
     y = np.array([1.0] * len(held(toxic)) + [0.0] * len(held(ordinary)))
-    return Model(plain, toxic_bytes, tuple(map(float, _calibrate(x, y))))
+    return Model(dictionaries, tuple(map(float, _calibrate(x, y))))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "toxic", text: str = "text") -> Model:
