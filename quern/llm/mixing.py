@@ -173,7 +173,8 @@ def mix_curriculum(
 def sort_by_position(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows of ``mix_curriculum`` range-sorted by the position of their first occurrence, those not taken last."""
     first = F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(2.0))
-    keys = [first, F.xxhash64("taken", "target", "source_size", "positions")]
+    # The rest of the row parts those that aren't taken, which may be most of a large source.
+    keys = [first, F.xxhash64(*(F.col(f"`{c}`") for c in mixed.columns))]
     ranged = mixed.repartitionByRange(partitions, *keys) if partitions else mixed.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*keys)
 
