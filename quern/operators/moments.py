@@ -58,8 +58,8 @@ def covariance_long(df: DataFrame, vector: str, dims: int, weight: Column | None
     return df.agg(*sums).select(F.inline(F.array(*cells)))
 
 
-def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and population covariance of all vectors without nulls and NaN.
+def moments(df: DataFrame, vector: str, dims: int, weight: Column | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and population covariance of all vectors without nulls and NaN; weighted if asked, with the sum of weights.
 
     Each task sums blocks with numpy; partial sums are added cell by cell, so
     the driver gets dims * dims numbers.
@@ -69,20 +69,22 @@ def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.
         n, s, q = 0, np.zeros(dims), np.zeros((dims, dims))
         for batch in batches:
             x = np.asarray(batch.column(0).flatten(), float).reshape(-1, dims)
-            x = x[~np.isnan(x).any(axis=1)]
-            n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
+            whole = ~np.isnan(x).any(axis=1)
+            x, w = x[whole], np.asarray(batch.column(1), float)[whole]
+            n, s, q = n + w.sum(), s + w @ x, q + (x * w[:, None]).T @ x
         cells = np.concatenate([[n], s, q.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "value"])
 
     v = F.col(vector).cast("array<double>")
-    whole = df.select(v.alias("v")).where((F.size("v") == dims) & F.forall("v", lambda x: x.isNotNull()))
+    w = F.lit(1.0) if weight is None else weight
+    whole = df.select(v.alias("v"), w.alias("w")).where((F.size("v") == dims) & F.forall("v", lambda x: x.isNotNull()) & F.col("w").isNotNull())
     rows = whole.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
     cells = np.zeros(1 + dims + dims * dims)
     for row in rows:
         cells[row[0]] = row[1]
-    n = max(cells[0], 1)
+    n = cells[0] or 1
     mean = cells[1 : dims + 1] / n
-    return int(cells[0]), mean, cells[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean)
+    return cells[0] if weight is not None else int(cells[0]), mean, cells[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean)
 
 
 def effective_rank(eigen: np.ndarray, energy: float) -> int:

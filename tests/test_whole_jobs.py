@@ -1,7 +1,12 @@
 """Queries do the whole job: nothing hard-coded, cut or left out."""
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from quern import registry
 from quern.plans import storage
+from quern.registry import table
 from tests.compare import assert_same, database
 
 
@@ -11,3 +16,46 @@ def test_file_key_comes_from_the_files(spark, sf, monkeypatch):
     keyed = storage.text.with_file_key
     monkeypatch.setattr(storage.text, "with_file_key", lambda df, length: keyed(df, length + 2))
     assert {r.file_key for r in query(spark, sf).collect()} == {"orders"}
+
+
+WHOLE = """nbayes_fit_whole nbayes_predict_whole confusion_matrix_whole quantize_whole normalize_01_row_whole normalize_pm1_row_whole
+normalize_s1_row_whole normalize_m0_row_whole normalize_v1_row_whole normalize_n1_row_whole normalize_m0v1_row_whole""".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_vectors_against_sql(spark, sf, name):
+    sql = registry.oracle_sql()[name]
+    assert "1:8" not in sql and "1:4" not in sql
+    if not name.startswith("normalize_m0_"):
+        return assert_same(database(sf), registry.queries()[name](spark, sf), sql)
+    # By value: a mean taken off can leave -0.0.
+    got = {(r.vec_id, r.i): r.x for r in registry.queries()[name](spark, sf).collect()}
+    assert got == {(k, i): x for k, i, x in database(sf).sql(f"SELECT vec_id, i, x FROM ({sql})").fetchall()}
+
+
+def test_whole_vectors_against_numpy(spark, sf):
+    rows = table(spark, sf, "embeddings").collect()
+    x, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    run = lambda name: registry.queries()[name](spark, sf).collect()
+    square = lambda name: np.array([r["cov"] for r in sorted(run(name))]).reshape(64, 64)
+    cov = np.cov(x.T, bias=True)
+    assert np.allclose(square("mean_cov_whole"), cov, atol=2e-7)
+    assert np.allclose(square("weighted_mean_cov_whole"), np.cov(x.T, bias=True, aweights=label + 1) + 0.001 * np.eye(64), atol=2e-7)
+    energy = np.sort(np.diag(cov))[::-1]
+    assert run("effective_rank_whole")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
+    got = {r.label: r for r in run("factor_models")}
+    for k in np.unique(label):
+        left = np.linalg.svd(np.abs(x[label == k]), compute_uv=False)[2:]
+        assert np.isclose(got[k].svd, (left**2).sum())
+
+
+NO_SQL = "kmeans gmm gmm_select mlr linear_svm rpca drmf grouped_mixture factor_models".split()
+
+
+@pytest.mark.parametrize("name", NO_SQL)
+def test_last_components_count(spark, sf, tmp_path, name):
+    """Other values beyond the first 8 components change the result."""
+    v = F.transform("embedding", lambda x, i: F.when(i < 8, x).otherwise(x * (1 + F.col("vec_id") % 3)).cast("float"))
+    table(spark, sf, "embeddings").withColumn("embedding", v).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, other = (sorted(map(tuple, registry.queries()[name](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert len(got) == len(other) and got != other
