@@ -59,3 +59,10 @@ def test_last_components_count(spark, sf, tmp_path, name):
     table(spark, sf, "embeddings").withColumn("embedding", v).write.parquet(f"{tmp_path}/embeddings.parquet")
     got, other = (sorted(map(tuple, registry.queries()[name](spark, d).collect())) for d in (sf, str(tmp_path)))
     assert len(got) == len(other) and got != other
+
+
+@pytest.mark.parametrize("name, n", [("flatten_once_whole", None), ("combinations_whole", 25 * 24 * 23 // 6)])
+def test_no_subset(spark, sf, name, n):
+    df = registry.queries()[name](spark, sf)
+    assert df.count() == (n or 3 * table(spark, sf, "events").count())
+    assert_same(database(sf), df, registry.oracle_sql()[name])
