@@ -35,10 +35,12 @@ TOKEN = r"(?<![A-Za-z0-9_+/@.-])(?=[A-Za-z_+/@.-]*+[0-9])[A-Za-z0-9_+/@.-]{6,}+"
 #: What stands before a token: a word, and marks that announce a value. At most so many characters are looked at.
 BEFORE, BEFORE_CHARS = r"([\p{L}_]{2,24}+)([\x20\t]{0,2}[=:#]{1,2}[\x20\t]{0,2}[\"']?)$", 40
 ROUNDS = 3
-#: Patterns that are used: distinct tokens after them, confidence, and how many at most (those with most tokens).
-LEAST_TOKENS, CONFIDENT, MAX_PATTERNS = 3, 0.8, 10_000
+#: Patterns that are used: distinct seeds after them, and confidence.
+LEAST_TOKENS, CONFIDENT = 3, 0.8
 #: The weight of doubt about a pattern, in tokens.
 DOUBT = 0.5
+#: Up to so many texts with learned patterns are sent to all tasks; more are joined by their digest.
+MAX_BROADCAST = 200_000
 
 
 def _found(text: Column, pattern: str, needs: str | None) -> Column:
@@ -106,20 +108,27 @@ def _seed_kind(value: Column) -> Column:
     return out
 
 
-def learn_patterns(docs: DataFrame, *, text: str = "text") -> dict[str, str]:
-    """Announcing patterns of high confidence and the kind of identifier that follows them.
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
-    Counts run over distinct pairs of a pattern and a token in all texts, so
-    copies count once. The driver gets at most MAX_PATTERNS patterns.
-    """
-    tokens = with_matches(docs.select(F.col(text)), text, {"token": TOKEN}, "pii_").select(F.explode("pii_token").alias("t"))
-    pairs = stored(
-        tokens.select(_pattern(F.col("t.before")).alias("pattern"), F.col("t.value").alias("value"))
-        .where("pattern <> ''")
-        .distinct()
-        .withColumn("seed", _seed_kind(F.col("value"))),
-        "pii-pairs",
+
+def announced(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """digest (of the text), pattern, value, seed: what announcing patterns stand before."""
+    found = with_matches(docs.select(F.col(text)), text, {"token": TOKEN}, "pii_")
+    tokens = F.transform(
+        "pii_token", lambda s: F.struct(_pattern(s["before"]).alias("pattern"), s["value"].alias("value"), _seed_kind(s["value"]).alias("seed"))
     )
+    spots = found.select(_digest(text).alias("digest"), F.explode(tokens).alias("t"))
+    return stored(spots.select("digest", "t.pattern", "t.value", "t.seed").where("pattern <> ''").distinct(), "pii-announced")
+
+
+def confident_patterns(spots: DataFrame) -> DataFrame:
+    """pattern, kind: all announcing patterns of high confidence and the kind of identifier that follows them.
+
+    Counts run over distinct pairs of a pattern and a value in all texts, so
+    copies count once.
+    """
+    pairs = stored(spots.groupBy("pattern", "value").agg(F.min("seed").alias("seed")), "pii-pairs")
     kinds = pairs.where("seed is not null").select("pattern", F.col("seed").alias("kind")).distinct()
     # Edges of the graph: pattern and token, for each kind that the pattern has seeds of.
     edges = pairs.join(kinds, "pattern").withColumn("known", F.col("seed").isNotNull())
@@ -139,31 +148,38 @@ def learn_patterns(docs: DataFrame, *, text: str = "text") -> dict[str, str]:
             .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("token_score"))
         )
         scored = stored(edges.join(doubt, ["value", "kind"], "left"), "pii-graph")
-    rows = (
-        patterns.where((F.col("seeds") >= LEAST_TOKENS) & (F.col("confidence") >= CONFIDENT))
-        .orderBy(F.desc("tokens"), "pattern", F.desc("confidence"), "kind")
-        .limit(MAX_PATTERNS)
-        .collect()
-    )
-    out: dict[str, str] = {}
-    for row in rows:
-        out.setdefault(row["pattern"], row["kind"])
-    return out
+    sure = patterns.where((F.col("seeds") >= LEAST_TOKENS) & (F.col("confidence") >= CONFIDENT))
+    return stored(sure.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind"))).alias("kind")), "pii-patterns")
+
+
+def learn_patterns(docs: DataFrame, *, text: str = "text") -> dict[str, str]:
+    """The confident patterns of ``docs`` and their kinds, on the driver; ``find_pii`` keeps them as a table."""
+    return {r["pattern"]: r["kind"] for r in confident_patterns(announced(docs, text=text)).collect()}
 
 
-def find_pii(docs: DataFrame, patterns: dict[str, str] | None = None, *, text: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, patterns: dict[str, str] | DataFrame | None = None, *, text: str = "text") -> DataFrame:
     """``docs`` with ``pii_spans``: structs (kind, start, stop, base), by kind and start.
 
     Base kinds come first, in their order: email, ip, card, phone. Further
     kinds, by name: secret for seeds of that kind, and learned_ with a kind for
     tokens that a learned pattern announces. Further spans that touch a base
-    span or an earlier further span are left out. ``patterns`` are learned from
-    ``docs`` itself unless given. Places are in code points, stop exclusive.
+    span or an earlier further span are left out. ``patterns``, a dictionary or a
+    table (pattern, kind), are learned from ``docs`` itself unless given. Places are in code points, stop exclusive.
     Null and empty texts have no spans; an input column pii_spans is replaced.
     """
-    patterns = learn_patterns(docs, text=text) if patterns is None else patterns
     docs = without(docs, ["pii_spans"])
     kept = docs.columns
+    spots = announced(docs, text=text)
+    if patterns is None:
+        patterns = confident_patterns(spots)
+    elif isinstance(patterns, dict):
+        patterns = docs.sparkSession.createDataFrame(sorted(patterns.items()), "pattern string, kind string")
+    # The learned patterns of each text that has some; texts that are alike share them.
+    pairs = spots.select("digest", "pattern").distinct().join(patterns, "pattern")
+    learned = stored(pairs.groupBy(F.col("digest").alias("pii_digest")).agg(F.map_from_entries(F.collect_set(F.struct("pattern", "kind"))).alias("pii_learned")), "pii-learned")
+    if learned.count() <= MAX_BROADCAST:
+        learned = F.broadcast(learned)
+    docs = docs.join(learned, _digest(text) == F.col("pii_digest"), "left").drop("pii_digest")
     found = with_matches(docs, text, BASE | {"token": TOKEN}, "pii_")
 
     def one(kind: Column, span: Column, base: bool) -> Column:
@@ -176,11 +192,10 @@ def find_pii(docs: DataFrame, patterns: dict[str, str] | None = None, *, text: s
         return F.transform(fitting, lambda s: one(F.lit(kind), s, True))
 
     base = F.concat(*(kind_spans(k) for k in BASE))
-    learned = F.create_map(*(F.lit(x) for pair in sorted(patterns.items()) for x in pair)) if patterns else None
 
     def further_kind(span: Column) -> Column:
         kind = F.when(span["value"].rlike(SECRET_SEED), F.lit(SECRET))
-        return kind.otherwise(F.concat(F.lit("learned_"), F.element_at(learned, _pattern(span["before"])))) if patterns else kind
+        return kind.otherwise(F.concat(F.lit("learned_"), F.element_at("pii_learned", _pattern(span["before"]))))
 
     named = F.filter(F.transform("pii_token", lambda s: one(further_kind(s), s, False)), lambda s: s["kind"].isNotNull())
     found = found.withColumn("pii_base", base).withColumn("pii_further", named)
