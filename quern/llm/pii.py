@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of unseen identifiers.
 
-The fixed patterns give seed entities. What stands before identifier-like
-tokens in the texts are lexical patterns. Patterns and the tokens after them
+The fixed patterns of all base kinds give seed entities. What stands before
+them and before identifier-like tokens in the texts are lexical patterns. Patterns and the tokens after them
 form a graph, over which scores are passed to and fro: a pattern is as good as
 the tokens after it, a token as good as the patterns before it, seeds being
 certain. After patterns of high confidence, tokens of any other shape are taken
@@ -103,7 +103,7 @@ def with_matches(docs: DataFrame, text: str, kinds: dict[str, str], prefix: str)
 def _seed_kind(value: Column) -> Column:
     """The seed kind of a token; null if it isn't one."""
     out = F.when(value.rlike(SECRET_SEED), F.lit(SECRET))
-    for kind in ("email", "ip", "card"):
+    for kind in BASE:
         out = out.when(value.rlike(rf"^(?:{BASE[kind]})[.]?$") & _fits(kind, F.rtrim(value, F.lit("."))), F.lit(kind))
     return out
 
@@ -113,12 +113,29 @@ def _digest(text: str) -> Column:
 
 
 def announced(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """digest (of the text), pattern, value, seed: what announcing patterns stand before."""
-    found = with_matches(docs.select(F.col(text)), text, {"token": TOKEN}, "pii_")
-    tokens = F.transform(
-        "pii_token", lambda s: F.struct(_pattern(s["before"]).alias("pattern"), s["value"].alias("value"), _seed_kind(s["value"]).alias("seed"))
-    )
-    spots = found.select(_digest(text).alias("digest"), F.explode(tokens).alias("t"))
+    """digest (of the text), pattern, value, seed: what announcing patterns stand before.
+
+    Values are the spans of all base kinds, which are seeds, and tokens. Tokens
+    that touch a base span and aren't seeds themselves are left out, and so are
+    base spans that touch a secret.
+    """
+    found = with_matches(docs.select(F.col(text)), text, BASE | {"token": TOKEN}, "pii_")
+
+    def one(span: Column, seed: Column) -> Column:
+        return F.struct(_pattern(span["before"]).alias("pattern"), span["value"].alias("value"), seed.cast("string").alias("seed"), span["start"].alias("start"), span["stop"].alias("stop"))
+
+    def seeds(kind: str) -> Column:
+        return F.transform(F.filter(f"pii_{kind}", lambda s: _fits(kind, s["value"])), lambda s: one(s, F.lit(kind)))
+
+    def apart(span: Column, others: Column) -> Column:
+        return ~F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
+
+    found = found.withColumn("pii_base", F.concat(*(seeds(k) for k in BASE)))
+    found = found.withColumn("pii_token", F.transform("pii_token", lambda s: one(s, _seed_kind(s["value"]))))
+    secrets = F.filter("pii_token", lambda t: t["seed"] == SECRET)
+    base = F.filter("pii_base", lambda b: apart(b, secrets))
+    tokens = F.filter("pii_token", lambda t: t["seed"].isNotNull() | apart(t, F.col("pii_base")))
+    spots = found.select(_digest(text).alias("digest"), F.explode(F.concat(base, tokens)).alias("t"))
     return stored(spots.select("digest", "t.pattern", "t.value", "t.seed").where("pattern <> ''").distinct(), "pii-announced")
 
 

@@ -10,6 +10,16 @@ def found(spark, texts):
     return {r.doc_id: [(s.kind, r.text[s.start : s.stop]) for s in r.pii_spans] for r in pii.find_pii(df).collect()}
 
 
+def test_seeds_of_all_base_kinds_teach_patterns(spark):
+    names = ["anna.smith", "bob.jones", "carl.roe", "dora.poe", "emil.low", "fay.moss"]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "5555 5555 5555 4444"]
+    texts = [f"x tel: +49 30 {1234567 + i} y mail: {n}@example.com z" for i, n in enumerate(names)] + [f"x visa: {c} y" for c in cards]
+    n = len(texts)
+    got = found(spark, [*texts, "x tel: 0301234599 y", "x mail: gus77-internal z", "x visa: zz-411122 z", "no such: 0301234599 y"])
+    assert got[n] == [("learned_phone", "0301234599")] and got[n + 1] == [("learned_email", "gus77-internal")]
+    assert got[n + 2] == [("learned_card", "zz-411122")] and not got[n + 3]
+
+
 def test_patterns_without_a_cap(spark):
     n = 10_100
     word = lambda i: "k" + "".join(chr(97 + int(c)) for c in str(i))
