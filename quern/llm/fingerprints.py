@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm._common import bound_batches, own_name, stored
+from quern.llm.ngram_join import components
 
 #: Sampled positions of a fingerprint, a byte each.
 SLOTS = 128
@@ -31,6 +32,8 @@ SEED = 20240502
 #: Rows of one range of document numbers, about; a task streams through a range.
 RANGE_ROWS = 16_384
 BANDS, LIKE = 16, 0.9
+#: Classes of one block of a bucket, about; blocks are compared two by two.
+BLOCK = 1024
 
 
 class Embedding:
@@ -106,6 +109,7 @@ COMPARED = T.StructType(
         T.StructField("near_next", T.DoubleType()),
     ]
 )
+LINKS = "doc_id long, like_id long, likeness double"
 
 
 def _ranges(ids: DataFrame, key: str, range_rows: int) -> list[int]:
@@ -118,7 +122,10 @@ def _ranges(ids: DataFrame, key: str, range_rows: int) -> list[int]:
 
 
 def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness.
+    """Fingerprints of each text and of its edited text, their likeness, and the group of each text.
+
+    ``near_id`` is the least number of the texts that ``near_pairs`` links to
+    the text, by way of others too; its own if there are none.
 
     The edited text has the last quarter of the characters (rounded down)
     replaced by the first as many of the next document's, or all it has. The
@@ -141,7 +148,7 @@ def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     )
     firsts = _ranges(rows.select("key"), "key", range_rows)
     if not firsts:
-        return spark.createDataFrame([], COMPARED)
+        return spark.createDataFrame([], T.StructType([*COMPARED.fields, T.StructField("near_id", T.LongType())]))
     n = len(firsts)
     places = np.asarray(firsts, np.int64)
 
@@ -181,7 +188,10 @@ def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                 ),
             )
 
-    return sorted_rows.select("doc_id", "text", "guest").mapInArrow(stream, COMPARED)
+    compared = stored(sorted_rows.select("doc_id", "text", "guest").mapInArrow(stream, COMPARED), "compared")
+    groups = components(near_pairs(compared).select(F.col("doc_id").alias("x"), F.col("like_id").alias("y")))
+    joined = compared.join(groups, F.col("doc_id") == F.col("id"), "left")
+    return joined.select(*compared.columns, F.coalesce("root", "doc_id").alias("near_id"))
 
 
 def _compared(embedding: Embedding, number, value, symbols, steps, mark, next_value, next_symbols, next_mark) -> tuple:
@@ -210,40 +220,56 @@ def near_pairs(
     """Links (doc_id, like_id, likeness) between documents with alike fingerprints.
 
     Documents with one fingerprint form a class, linked to its smallest number.
-    Classes that agree in a band meet in a bucket. There all are compared with
-    the smallest number; those that aren't alike enough go on among themselves
-    to the next round, until none is left. So every class is linked to the
-    first of its bucket that it is like, and no bucket is expanded into pairs.
+    Classes that agree in a band meet in a bucket. Buckets are cut into blocks
+    by the number, and any two blocks are compared in a task of their own, so
+    that every two classes of a bucket are verified. Of the pairs that are
+    alike, each comparison gives a spanning forest: links connect just what all
+    alike pairs would, and grow with the classes, not with their pairs.
     Null numbers or fingerprints take no part.
     """
+    bound_batches(marks.sparkSession)
     rows = marks.select(F.col(doc_id).alias("id"), F.col(fingerprint).alias("mark")).where("id is not null and mark is not null")
     classes = stored(rows.groupBy("mark").agg(F.min("id").alias("id")), "marks")
     same = rows.join(classes.withColumnRenamed("id", "first"), "mark").where("id <> first")
-    links = [same.select(F.col("id").alias("doc_id"), F.col("first").alias("like_id"), F.lit(1.0).alias("likeness"))]
     width = SLOTS // bands * 2
-    keys = F.array(*(F.concat(F.lit(f"{b}:"), F.substring("mark", b * width + 1, width)) for b in range(bands)))
-    left = classes.select("id", "mark", F.explode(keys).alias("bucket"))
-    first = Window.partitionBy("bucket")
-    equal = F.size(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(SLOTS - 1)),
-            lambda i: F.substr("mark", i * 2 + 1, F.lit(2)) == F.substr("first_mark", i * 2 + 1, F.lit(2)),
-        )
-    ) / F.lit(float(SLOTS))
-    while True:
-        compared = stored(
-            left.withColumn("top", F.min(F.struct("id", "mark")).over(first))
-            .select("id", "mark", "bucket", F.col("top.id").alias("first"), F.col("top.mark").alias("first_mark"))
-            .where("id <> first")
-            .withColumn("likeness", equal)
-            .drop("first_mark"),
-            "near",
-        )
-        links.append(compared.where(F.col("likeness") >= like).select(F.col("id").alias("doc_id"), F.col("first").alias("like_id"), "likeness"))
-        left = compared.where(F.col("likeness") < like).select("id", "mark", "bucket")
-        if left.isEmpty():
-            break
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("mark", b * width + 1, width)) for b in range(bands)))
+    # Marks are moved for members of shared buckets only.
+    dealt = classes.select("id", F.explode(keys).alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = stored(dealt.join(sizes, "bucket"), "members")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    cells = members.select("id", "bucket", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    marked = cells.join(classes.select("id", F.unhex("mark").alias("mark")), "id")
+    placed = marked.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "mark")
+    ordered = placed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "id").select("bucket", "low", "high", "id", "mark")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("like_id", pa.int64()), ("likeness", pa.float64())])
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for *cell, number, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
+                    out += _forest(held, like)
+                    now, held = cell, []
+                held.append((number, mark))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in _forest(held, like)], schema)
+
+    links = same.select(F.col("id").alias("doc_id"), F.col("first").alias("like_id"), F.lit(1.0).alias("likeness"))
+    return links.unionByName(ordered.mapInArrow(verify, LINKS)).distinct()
+
+
+def _forest(members: list[tuple[int, bytes]], like: float) -> list[tuple[int, int, float]]:
+    """(id, id, likeness) of alike members, by ascending numbers, that connect whatever alike members connect."""
+    if len(members) < 2:
+        return []
+    marks = np.frombuffer(b"".join(m for _, m in members), np.uint8).reshape(len(members), -1)
+    group, out = np.arange(len(members)), []
+    for i in range(len(members) - 1):
+        share = (marks[i + 1 :] == marks[i]).mean(axis=1)
+        for j in np.flatnonzero(share >= like) + i + 1:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                out.append((members[j][0], members[i][0], float(share[j - i - 1])))
+    return out

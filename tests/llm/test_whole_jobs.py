@@ -2,7 +2,9 @@
 
 import hashlib
 
-from quern.llm import pii
+import numpy as np
+
+from quern.llm import fingerprints, pii, queries
 
 
 def found(spark, texts):
@@ -28,3 +30,43 @@ def test_patterns_without_a_cap(spark):
     got = found(spark, texts)
     missed = [i for i in range(n) if ("learned_secret", f"zq-77{i:06d}-x") not in got[i]]
     assert not missed
+
+
+def linked(spark, marks, **options):
+    frame = spark.createDataFrame([(i, bytes(m).hex()) for i, m in enumerate(marks)], "doc_id long, fingerprint string")
+    return {(r.doc_id, r.like_id) for r in fingerprints.near_pairs(frame, **options).collect()}
+
+
+def changed(mark, places):
+    return [x ^ 1 if i in places else x for i, x in enumerate(mark)]
+
+
+def test_chains_of_fingerprints(spark, monkeypatch):
+    base = list(np.random.default_rng(1).integers(0, 256, 128))
+    # Neighbours are alike in 118 of 128 places, others less; all share the first two bands only.
+    step = lambda k: set(range(16 + 10 * k, 26 + 10 * k))
+    chain = [base]
+    for k in range(9):
+        chain.append(changed(chain[-1], step(k)))
+    # Of 0, 1 and 2 the middle one comes last.
+    assert linked(spark, [chain[0], chain[2], chain[1]]) == {(2, 0), (2, 1)}
+    want = {(i + 1, i) for i in range(9)}
+    assert linked(spark, chain) == want
+    monkeypatch.setattr(fingerprints, "BLOCK", 2)
+    assert linked(spark, chain) == want
+
+
+def test_one_character_edit_is_found(spark):
+    rng = np.random.default_rng(0)
+    base = ["".join(map(chr, rng.integers(97, 123, 3000))) for _ in range(6)]
+    texts = [*base, base[0][:1500] + "X" + base[0][1500:], base[1], base[2][:2980]]
+    walk = fingerprints.Embedding()
+    assert linked(spark, [walk.fingerprint(t) for t in texts], like=0.5) == {(6, 0), (7, 1), (8, 2)}
+
+
+def test_op3_gives_groups(spark, sf):
+    rows = {r.doc_id: r for r in queries.op3_edit_embedding(spark, sf).collect()}
+    assert all(r.near_id <= i for i, r in rows.items()) and any(r.near_id < i for i, r in rows.items())
+    same = {}
+    for i, r in sorted(rows.items()):
+        assert r.near_id == rows[same.setdefault(r.fingerprint, i)].near_id
