@@ -112,7 +112,11 @@ class OnlineFactors:
 
     def update(self, x: np.ndarray) -> None:
         c = self.coefficients(x)
-        self.a, self.b = self.a + c.T @ c, self.b + c.T @ x
+        self.add(c.T @ c, c.T @ x)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Take in a batch by its sums of products of coefficients with one another and with the rows."""
+        self.a, self.b = self.a + a, self.b + b
         self.d = np.linalg.solve(self.a + self.ridge * np.eye(len(self.a)), self.b)
 
 

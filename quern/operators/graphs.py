@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.shared import stored
+
 
 def undirected(edges: DataFrame, src: str, dst: str, position: str) -> DataFrame:
     """Edges without loops, each undirected one once, at its first position: a, b, pos."""
@@ -27,25 +27,14 @@ def neighbour_lists(edges: DataFrame, src: str, dst: str, dist: str) -> DataFram
     return edges.groupBy(src).agg(F.sort_array(F.collect_list(F.struct(F.col(dist).alias("dist"), F.col(dst).alias("dst")))).alias("near"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: through the shared folder where there is one, else kept by this session's executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"/tmp/quern-checkpoints-{spark.sparkContext.applicationId}"
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
-    """``vid`` and ``component``, the least number that edges lead to, of all vertices.
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``id`` and ``root``, the least number that edges lead to, of all numbers that have edges to others and aren't roots.
 
     Large and small stars in turn: each node's neighbours above it, then those
     below, are hung onto its least neighbour, until nothing changes. The number
     of rounds grows with the logarithm of a component's diameter.
     """
-    now = cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
+    now = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
@@ -53,12 +42,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(hung.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(hung.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
-            break
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = mark
-    return vertices.join(now, F.col(vid) == F.col("u"), "left").select(vid, F.coalesce("v", vid).alias("component"))
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
+    """``vid`` and ``component``, the least number that edges lead to, of all vertices."""
+    roots = component_roots(edges, src, dst).select(F.col("id").alias("u"), "root")
+    return vertices.join(roots, F.col(vid) == F.col("u"), "left").select(vid, F.coalesce("root", vid).alias("component"))
 
 
 def sized(components: DataFrame, least: int, most: int | None = None) -> DataFrame:

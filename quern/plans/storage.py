@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.registry import query, table
+from quern.shared import new_path
 from quern.sources import tables, text
 
 
 def scratch(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(folder or f'/tmp/quern-{spark.sparkContext.applicationId}').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return new_path(spark, "scratch")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 150000")
