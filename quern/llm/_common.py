@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.shared import stored  # noqa: F401
+
 #: Rows of one Arrow batch sent to a Python worker. Texts may be long, so a
 #: batch of Spark's default 10,000 rows isn't bounded tightly enough.
 BATCH_ROWS = 512
@@ -30,23 +29,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: ``spark.checkpoint.dir``, or a local one of this process where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"quern-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def own_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until no column of ``df`` has that name in any letter case."""
     taken = {c.lower() for c in df.columns}
