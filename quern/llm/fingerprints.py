@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm._common import bound_batches, own_name, stored
-from quern.llm.ngram_join import components
+from quern.operators.graphs import component_roots
 
 #: Sampled positions of a fingerprint, a byte each.
 SLOTS = 128
@@ -189,7 +189,7 @@ def compare_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             )
 
     compared = stored(sorted_rows.select("doc_id", "text", "guest").mapInArrow(stream, COMPARED), "compared")
-    groups = components(near_pairs(compared).select(F.col("doc_id").alias("x"), F.col("like_id").alias("y")))
+    groups = component_roots(near_pairs(compared), "doc_id", "like_id")
     joined = compared.join(groups, F.col("doc_id") == F.col("id"), "left")
     return joined.select(*compared.columns, F.coalesce("root", "doc_id").alias("near_id"))
 

@@ -10,8 +10,15 @@ exactly, and the links are joined into components.
 
 Groups are joined into spanning trees, not expanded into pairs: each group gives
 a spanning forest of the pairs that its tree lets pass. What these forests
-connect is a block; every link lies inside of one. Each set of a block is
-brought there once, and a second traversal compares exactly.
+connect is a block; every link of a group lies inside of one. Each set of a
+block is brought there once, and a second traversal compares exactly.
+
+No task gets an unbounded group. A first shingle of very many sets is wide: it
+is cut into parts, and so is a large block. Parts are joined first; then
+representatives of what hangs together in different parts meet, again and
+again, so that a family of near copies becomes one component in a few rounds.
+In the end, only sets outside of their group's main component meet all parts of
+the group, in cells of two parts each: by bitmaps first, exactly then.
 """
 
 from __future__ import annotations
@@ -24,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._common import bound_batches, stored
+from quern.llm._common import bound_batches, own_name, stored
+from quern.operators.graphs import component_roots
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
@@ -39,6 +47,8 @@ LEAF, FAN = 64, 8
 MAX_MATRIX = 1 << 31
 #: Identifiers that are broadcast, at most.
 MAX_BROADCAST = 500_000
+#: Sets of a part of a wide shingle or large block, and shingles of its sets, about.
+PART_SETS, PART_SHINGLES = 1024, 1 << 20
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -187,20 +197,24 @@ def _node_pairs(sizes: list[int], maps: list[np.ndarray], union: Union) -> Itera
             yield a, b
 
 
-def _passing(a: Node, b: Node, sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-    """For two leaves, which pairs of sets the bitmaps and sizes let pass."""
+def passing(n: np.ndarray, left: list[np.ndarray], m: np.ndarray, right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets with these sizes and bitmaps may be similar enough."""
     p, q = LIKE
-    width = min(len(maps[i]) for n in (a, b) for i in range(n.low, n.high))
-    left = np.stack([fold(maps[i], width) for i in range(a.low, a.high)]).view(np.uint64)
-    right = np.stack([fold(maps[i], width) for i in range(b.low, b.high)]).view(np.uint64)
-    n, m = sizes[a.low : a.high], sizes[b.low : b.high]
-    shared = np.stack([np.bitwise_count(row & right).sum(axis=1, dtype=np.int64) for row in left])
+    width = min(map(len, [*left, *right]))
+    a = np.stack([fold(x, width) for x in left]).view(np.uint64)
+    b = np.stack([fold(x, width) for x in right]).view(np.uint64)
+    shared = np.stack([np.bitwise_count(row & b).sum(axis=1, dtype=np.int64) for row in a])
     # A bit that one set has alone stands for a shingle of its own at least.
-    alone_n = np.bitwise_count(left).sum(axis=1, dtype=np.int64)[:, None] - shared
-    alone_m = np.bitwise_count(right).sum(axis=1, dtype=np.int64)[None, :] - shared
+    alone_n = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None] - shared
+    alone_m = np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :] - shared
     most = np.minimum(n[:, None] - alone_n, m[None, :] - alone_m)
     total = n[:, None] + m[None, :]
-    out = (most * (p + q) >= p * total) & (n[:, None] * q >= m[None, :] * p) & (m[None, :] * q >= n[:, None] * p)
+    return (most * (p + q) >= p * total) & (n[:, None] * q >= m[None, :] * p) & (m[None, :] * q >= n[:, None] * p)
+
+
+def _passing(a: Node, b: Node, sizes: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """For two leaves, which pairs of sets the bitmaps and sizes let pass."""
+    out = passing(sizes[a.low : a.high], maps[a.low : a.high], sizes[b.low : b.high], maps[b.low : b.high])
     return np.triu(out, 1) if a is b else out
 
 
@@ -277,7 +291,7 @@ def hot_shingles(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """For rows (doc_id, text): size and digest of the set, its bitmap, and its prefix with the number that counts for the smaller set."""
+    """For rows (doc_id, text, mark): size and digest of the set, its bitmap, and its prefix with the number that counts for the smaller set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,16 +310,17 @@ def shingle_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(maps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), flat),
                     pa.array(small, pa.int32()),
                 ],
-                ["doc_id", "n_shingles", "digest", "bits", "keys", "small"],
+                ["doc_id", "mark", "n", "digest", "bits", "keys", "small"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits binary, keys array<long>, small int")
+    return docs.mapInArrow(run, "doc_id long, mark binary, n long, digest binary, bits binary, keys array<long>, small int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,40 +399,206 @@ def _finish(name, rows):
         yield name, some[x][1], some[y][1]
 
 
+def _crossing(rows, exact: bool) -> Iterator[tuple[int, int]]:
+    """Of members (cell, side, x, component, n, bits or set) of a cell: pairs of the two sides in different components that pass."""
+    p, q = LIKE
+    sides = [sorted((r for r in rows if r[1] == k), key=lambda r: (r[4], r[2])) for k in (0, 1)]
+    if not all(sides):
+        return
+    sets = [[np.frombuffer(r[5], np.uint64) for r in side] if exact else None for side in sides]
+    maps = [[bitmap(s) for s in sets[k]] if exact else [np.frombuffer(r[5], np.uint8) for r in side] for k, side in enumerate(sides)]
+    n, home = ([np.array([r[i] for r in side]) for side in sides] for i in (4, 3))
+    for low in range(0, len(sides[0]), LEAF):
+        for start in range(0, len(sides[1]), LEAF):
+            a, b = slice(low, low + LEAF), slice(start, start + LEAF)
+            if n[0][a][-1] * q < n[1][b][0] * p or n[1][b][-1] * q < n[0][a][0] * p:
+                continue
+            some = passing(n[0][a], maps[0][a], n[1][b], maps[1][b]) & (home[0][a][:, None] != home[1][b][None, :])
+            for x, y in np.argwhere(some).tolist():
+                x, y = x + low, y + start
+                if exact:
+                    shared = len(np.intersect1d(sets[0][x], sets[1][y], assume_unique=True))
+                    if shared * (p + q) < p * int(n[0][x] + n[1][y]):
+                        continue
+                yield sides[0][x][2], sides[1][y][2]
+
+
+def _flag(name, rows):
+    """The members of a cell that have partners by their bitmaps."""
+    yield from ((name, x, 0) for x in {x for pair in _crossing(rows, False) for x in pair})
+
+
+def _link(name, rows):
+    """The links of a cell that join what doesn't hang together yet."""
+    at = {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: r[3]))}
+    union, first = Union(len(rows)), {}
+    for r in rows:
+        union.join(at[r[2]], first.setdefault(r[3], at[r[2]]))
+    for x, y in _crossing(rows, True):
+        if union.join(at[x], at[y]):
+            yield name, x, y
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the documents named in ``wanted`` (column id), from their texts."""
+    """(x, set) of the classes in ``wanted`` (x, digest, least_id), from the texts of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])
 
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    some = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return some.mapInArrow(run, "id long, set binary")
+    some = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("least_id")), "left_semi").select("doc_id", "text")
+    found = some.mapInArrow(run, "digest binary, set binary").join(wanted.select("x", "digest"), "digest")
+    return found.groupBy("x").agg(F.min("set").alias("set"))
+
+
+def _by(df: DataFrame, finish, *order: str) -> DataFrame:
+    """(list, x, y) that ``finish`` makes of the rows of each value of the first column, which one task gets."""
+    by = df.columns[0]
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(_by_list(finish), "list long, x long, y long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for all ids in ``edges`` (x, y): the least id that edges lead to. Alternates large and small stars."""
-    now = stored(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "edges")
+def _parts(n: str = "n") -> F.Column:
+    """Parts of a group, by how many sets it has and their shingles."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / PART_SETS, F.sum(n) / PART_SHINGLES))
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        around = df.select("u", "v").union(df.select(F.col("v"), F.col("u"))) if large else df
-        least = around.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        joined = around.join(least, "u")
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
-    before = None
-    while True:
-        now = stored(star(star(now, True), False), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = mark
+def _dealt(salt: int, *keys) -> F.Column:
+    """The part of a member among ``parts``."""
+    return F.pmod(F.xxhash64(F.lit(salt), *keys), F.col("parts"))
+
+
+def _wide(postings: DataFrame) -> DataFrame:
+    """The keys of more than PART_SETS postings."""
+    counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+    return stored(counted.where(F.col("many") > PART_SETS), "wide")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+class _Join:
+    """The join of one table: ``rows`` (doc_id, text) and the classes of its sets (digest, x, least_id, n, bits)."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, bits: DataFrame):
+        self.rows, self.classes, self.bits = rows, classes, bits
+        self.edges: list[DataFrame] = []
+
+    def sets(self, some: DataFrame) -> DataFrame:
+        """(x, set) of the classes named in ``some`` (x)."""
+        return _sets_of(self.rows, stored(some.select("x").distinct().join(self.classes, "x").select("x", "digest", "least_id"), "wanted"))
+
+    def compare(self, cells: DataFrame) -> None:
+        """Find links in each cell of ``cells`` (cell, x)."""
+        cells = stored(cells, "cells")
+        found = _by(cells.join(self.sets(cells), "x").select("cell", "x", "set"), _finish)
+        self.edges.append(stored(found.select("x", "y").distinct(), "edges"))
+
+    def roots(self) -> DataFrame:
+        return component_roots(_all(self.edges), "x", "y")
+
+    def join_parts(self, spread: DataFrame) -> None:
+        """Links that join what hangs together in the groups of ``spread`` (grp, x, n), each of which has been compared part by part."""
+        before = None
+        while True:
+            now = spread.join(self.roots(), F.col("x") == F.col("id"), "left").select("grp", "x", "n", F.coalesce("root", "x").alias("component"))
+            now = stored(now, "spread")
+            of = stored(now.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("many"), F.min("x").alias("a"), F.max("x").alias("b")), "hanging")
+            main = of.groupBy("grp").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("many", "component")).alias("main"))
+            main = stored(main.where("components > 1"), "main")
+            left = main.agg(F.sum("components")).first()[0]
+            if not left:
+                return
+            if before is not None and left * 2 > before:
+                break
+            before = left
+            # Two sets of each component of several members meet those of other components, some at a time.
+            chosen = of.where("many > 1").join(main, "grp").withColumn("parts", F.ceil(2 * F.col("components") / PART_SETS))
+            chosen = chosen.select("grp", "parts", F.explode(F.array("a", "b")).alias("x"))
+            self.compare(chosen.select(F.xxhash64("grp", _dealt(left, "x")).alias("cell"), "x").distinct())
+        self.compare_outside(now.join(main, "grp"))
+
+    def compare_outside(self, inside: DataFrame) -> None:
+        """Compare what isn't in its group's main component with all of the group: (grp, x, n, component, main)."""
+        # Sizes of linked sets lie in one band or in neighbouring ones.
+        inside = stored(inside.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.34)))), "inside")
+        outside = inside.where("component <> main")
+
+        def placed(df: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+            parts = df.groupBy("grp", "band").agg(_parts().alias("parts"))
+            return df.join(parts, ["grp", "band"]).withColumn("part", _dealt(salt, "x")), parts.select("grp", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+        (out, out_parts), (every, parts) = placed(outside, 3), placed(inside, 4)
+        near = out_parts.select("grp", F.col("band").alias("out_band"), F.col("part").alias("out_part"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+        cells = stored(near.join(parts, ["grp", "band"]).withColumn("cell", F.xxhash64("grp", "out_band", "out_part", "band", "part")), "crossings")
+        of_out = cells.select("cell", "grp", F.col("out_band").alias("band"), F.col("out_part").alias("part"))
+        of_every = cells.select("cell", "grp", "band", "part")
+        side = lambda df, of, k: df.join(of, ["grp", "band", "part"]).select("cell", F.lit(k).alias("side"), "x", "component", "n")
+        meet = stored(side(out, of_out, 0).unionByName(side(every, of_every, 1)), "meet")
+        flagged = _by(meet.join(self.bits.select("x", "bits"), "x").select("cell", "side", "x", "component", "n", "bits"), _flag)
+        flagged = stored(flagged.select(F.col("list").alias("cell"), "x").distinct(), "flagged")
+        exact = meet.join(flagged, ["cell", "x"]).join(self.sets(flagged), "x").select("cell", "side", "x", "component", "n", "set")
+        self.edges.append(stored(_by(exact, _link).select("x", "y").distinct(), "edges"))
+
+
+def components_of_rows(docs: DataFrame, doc_id: str, text: str, mark: F.Column) -> DataFrame:
+    """doc_id, ``mark``, n (size of the set), root (of the row's component) and component (its least number) of every row."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.cast("binary").alias("mark"))
+    sets = shingle_sets(rows, hot_shingles(rows, "doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    sets = stored(sets, "shingles")
+    # The rows are stored, so that their places are fixed numbers: that of its first row names a class.
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("x"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"))
+    classes = stored(classes, "classes")
+    firsts = sets.join(classes.select("x"), F.col("row") == F.col("x"), "left_semi").withColumnRenamed("row", "x")
+    postings = firsts.select("x", "n", "small", F.posexplode("keys").alias("at", "key"))
+    postings = postings.select("key", "x", F.when(F.col("at") < F.col("small"), F.col("n")).otherwise(-F.col("n")).alias("signed"))
+    # Copies count here too; that makes no more than a part of its own of a short list.
+    wide = _wide(sets.select(F.explode("keys").alias("key")))
+    n_wide = wide.count()
+    named = F.broadcast(wide) if n_wide <= MAX_BROADCAST else wide
+    narrow = postings.join(named, "key", "left_anti") if n_wide else postings
+    lists = stored(
+        narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "members array<long>")
+        .select("members", F.xxhash64("members").alias("list"), F.hash("members").alias("other")).dropDuplicates(["list", "other"]),
+        "lists",
+    )
+    members = lists.select("list", F.explode("members").alias("x")).distinct()
+    spread = None
+    if n_wide:
+        # A set is compared within one of its wide shingles, the one of most sets, part by part.
+        spread = stored(postings.join(named, "key", "left_semi").select("key", "x", F.abs("signed").alias("n")).distinct(), "spread")
+        many = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+        home = spread.join(many, "key").groupBy("x").agg(F.max_by("key", F.struct("many", "key")).alias("key"), F.min("n").alias("n"))
+        home = stored(home, "home")
+        dealt = home.join(home.groupBy("key").agg(_parts().alias("parts")), "key")
+        members = members.unionByName(dealt.select(F.xxhash64("key", _dealt(1, "x")).alias("list"), "x"))
+        spread = spread.select(F.xxhash64(F.lit("key"), "key").alias("grp"), "x", "n")
+    bits = firsts.select("x", "n", "bits")
+    pairs = stored(_by(members.join(bits, "x").select("list", "n", "x", "bits"), _span).select("x", "y").distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
+    roots = component_roots(pairs, "x", "y")
+    blocks = ids.join(roots, F.col("x") == F.col("id"), "left").select("x", F.coalesce("root", "x").alias("block"))
+    blocks = stored(blocks.join(classes.select("x", "n"), "x"), "blocks")
+    parts = stored(blocks.groupBy("block").agg(_parts().alias("parts")), "parts")
+    join = _Join(rows, classes, bits)
+    join.compare(blocks.join(parts, "block").select(F.xxhash64("block", _dealt(2, "x")).alias("cell"), "x"))
+    large = blocks.join(parts.where("parts > 1"), "block").select(F.xxhash64(F.lit("block"), "block").alias("grp"), "x", "n")
+    spread = large if spread is None else spread.unionByName(large)
+    if spread.take(1):
+        join.join_parts(stored(spread, "spread"))
+    of_class = classes.join(join.roots(), F.col("x") == F.col("id"), "left").select("digest", "least_id", F.coalesce("root", "x").alias("root"))
+    of_class = stored(of_class, "roots")
+    of_class = of_class.join(of_class.groupBy("root").agg(F.min("least_id").alias("component")), "root").select("digest", "root", "component")
+    some = sets.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    return some.join(of_class, "digest", "left").select("doc_id", "mark", "n", "root", "component")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -425,55 +606,42 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Texts are linked if the Jaccard similarity of their sets of five-word
     shingles is 3/4 or more. Null texts are empty; empty and blank texts have
-    no shingles and hang together with nothing. Rows with a null number have a
-    null component and take part in nothing; rows with one number count as
-    copies of the one with the least digest of those. Other columns are left
-    out; an empty table gives no rows. Nothing but the frequent shingles of a
-    sample comes to the driver.
+    no shingles and hang together with nothing. Links are between rows, so rows
+    that share a number but not a text have links of their own; rows without a
+    number link too, and their component is null if no number is reached. Other
+    columns are left out; an empty table gives no rows. Nothing but the
+    frequent shingles of a sample comes to the driver.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = rows.where("doc_id is not null")
-    sets = stored(shingle_sets(rows, hot_shingles(named, "doc_id", "text")), "shingles")
-    classes = stored(
-        sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes"
-    )
-    firsts = sets.join(classes, (sets.digest == classes.digest) & (sets.doc_id == classes.class_id), "left_semi").where("n_shingles > 0")
-    postings = firsts.select(
-        "doc_id", "n_shingles", "small", F.posexplode("keys").alias("at", "key")
-    ).select("key", "doc_id", F.when(F.col("at") < F.col("small"), F.col("n_shingles")).otherwise(-F.col("n_shingles")).alias("signed"))
-    lists = stored(
-        postings.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "members array<long>")
-        .withColumn("list", F.xxhash64("members")).dropDuplicates(["list"]),
-        "lists",
-    )
-    marks = firsts.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    members = lists.select("list", F.explode("members").alias("x")).distinct().join(marks, F.col("x") == F.col("doc_id"))
-
-    def in_groups(df: DataFrame, finish) -> DataFrame:
-        by = df.columns[0]
-        return df.repartition(by).sortWithinPartitions(by).mapInArrow(_by_list(finish), "list long, x long, y long").select("x", "y")
-
-    pairs = stored(in_groups(members.select("list", "n", "x", "bits"), _span).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    blocks = stored(
-        ids.join(components(pairs), "id", "left").select("id", F.coalesce("root", "id").alias("block")), "blocks"
-    )
-    sets_in = _sets_of(named, blocks.select("id")).groupBy("id").agg(F.min("set").alias("set"))
-    edges = in_groups(sets_in.join(blocks, "id").select("block", "id", "set"), _finish)
-    roots = components(edges)
-    of_class = classes.join(roots, F.col("class_id") == F.col("id"), "left").select(
-        "digest", F.coalesce("root", "class_id").alias("component")
-    )
-    alone = sets.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    return alone.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = components_of_rows(docs, doc_id, text, F.lit(None))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those whose component has a smaller number; rows without a number stay."""
-    found = jaccard_components(docs, doc_id=doc_id, text=text)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    if gone.count() <= MAX_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    """One row of ``docs`` of each component: that of the least number, rows without one last.
+
+    Of several texts with that number, the one of least MD5 stays, and of rows
+    alike in number and text the one whose other columns have the least hash.
+    Rows without words hang together with nothing and stay.
+    """
+    mark = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+    found = stored(components_of_rows(docs, doc_id, text, mark).where("n > 0"), "of-rows")
+    kept = stored(found.groupBy("root").agg(F.min(rank).alias("kept")), "kept")
+    rows = found.join(kept, "root").select(rank.alias("row"), "kept")
+    gone = stored(rows.where("row <> kept").select("row.*").distinct(), "gone")
+    again = stored(rows.where("row = kept").groupBy("row").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("row.*"), "again")
+
+    def those(df: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        number, other = own_name(docs, "gone_id"), own_name(docs, "gone_mark")
+        named = named.select(F.col("doc_id").alias(number), F.col("mark").alias(other))
+        if named.count() <= MAX_BROADCAST:
+            named = F.broadcast(named)
+        return df.join(named, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(number)) & (mark == F.col(other)), how)
+
+    left = those(docs, gone, "left_anti")
+    if not again.take(1):
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    twice = those(left, again, "left_semi").select(F.struct(*columns).alias("row"), F.col(f"`{doc_id}`").alias("number"), mark.alias("mark"))
+    one = twice.groupBy("number", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return those(left, again, "left_anti").unionByName(one.select("row.*"))

@@ -1,10 +1,12 @@
 """Operators do the whole job: nothing cut, capped or left out."""
 
 import hashlib
+import re
 
 import numpy as np
+import pytest
 
-from quern.llm import fingerprints, pii, queries
+from quern.llm import fingerprints, ngram_join, pii, queries
 
 
 def found(spark, texts):
@@ -70,3 +72,54 @@ def test_op3_gives_groups(spark, sf):
     same = {}
     for i, r in sorted(rows.items()):
         assert r.near_id == rows[same.setdefault(r.fingerprint, i)].near_id
+
+
+def all_pairs(texts):
+    """The least place that links lead to, of each text, by comparing all pairs; None of texts without words."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    of = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = of[i], of[j]
+                of = [min(a, b) if x in (a, b) else x for x in of]
+    return of
+
+
+def family(rng, n, words=60, rate=0.03, at=0):
+    """Near copies of one text, some nearer than others."""
+    base = [f"w{at}x{i}" for i in range(words)]
+    return [" ".join(w if rng.random() > rate * rng.random() * 2 else f"n{rng.integers(10**6)}" for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part", [4, 1024])
+def test_families_in_parts_keep_every_link(spark, monkeypatch, part):
+    rng = np.random.default_rng(11)
+    texts = [*family(rng, 60), *family(rng, 30, 25, 0.02, 1), *family(rng, 20, 200, 0.06, 2), *family(rng, 12, 40, 0.1, 3)]
+    common = " ".join(f"c{i}" for i in range(12))
+    texts += [common + " " + " ".join(f"q{k}y{i}" for i in range(k % 7)) for k in range(40)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    monkeypatch.setattr(ngram_join, "PART_SETS", part)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == all_pairs(texts)
+
+
+def test_repeated_numbers_keep_their_links(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(3, x), (3, y), (7, y + " tail"), (9, x + " end"), (None, x), (None, "only here and nowhere else at all")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, [(3, 3), (3, 3), (7, 3), (9, 3), (None, 3), (None, None)]))
+
+
+def test_one_row_of_each_component_stays(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x, "a"), (1, x, "a"), (2, x + " end", "b"), (None, y, "c"), (None, y, "c"), (5, None, "d"), (6, "", "e"), (6, " ", "e")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, gone_id string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, x, "a"), (None, y, "c"), (5, None, "d"), (6, "", "e"), (6, " ", "e")]))
