@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of unseen identifiers.
 
 The fixed patterns of all base kinds give seed entities. What stands before
-them and before identifier-like tokens in the texts are lexical patterns. Patterns and the tokens after them
-form a graph, over which scores are passed to and fro: a pattern is as good as
-the tokens after it, a token as good as the patterns before it, seeds being
-certain. After patterns of high confidence, tokens of any other shape are taken
-as identifiers too. All of it is DataFrame operations.
+them and before identifier-like tokens in the texts are lexical patterns.
+Patterns and the tokens after them form a graph that is scored round by round:
+a pattern is as good as the tokens after it, and a token as good as the
+patterns before it. Tokens accepted in one round are seeds in the next, so that
+they induce further patterns, until nothing is added. After patterns of high
+confidence, tokens of any other shape are taken as identifiers too. All of it
+is DataFrame operations, and takes time in proportion to a text's length and
+matches.
 """
 
 from __future__ import annotations
@@ -34,13 +37,59 @@ SECRET_SEED = r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 TOKEN = r"(?<![A-Za-z0-9_+/@.-])(?=[A-Za-z_+/@.-]*+[0-9])[A-Za-z0-9_+/@.-]{6,}+"
 #: What stands before a token: a word, and marks that announce a value. At most so many characters are looked at.
 BEFORE, BEFORE_CHARS = r"([\p{L}_]{2,24}+)([\x20\t]{0,2}[=:#]{1,2}[\x20\t]{0,2}[\"']?)$", 40
-ROUNDS = 3
-#: Patterns that are used: distinct seeds after them, and confidence.
+#: Rounds of bootstrapping, at most; they end when a round adds nothing.
+ROUNDS = 6
+#: Patterns and tokens that are accepted: distinct seeds after a pattern, and confidence.
 LEAST_TOKENS, CONFIDENT = 3, 0.8
 #: The weight of doubt about a pattern, in tokens.
 DOUBT = 0.5
 #: Up to so many texts with learned patterns are sent to all tasks; more are joined by their digest.
 MAX_BROADCAST = 200_000
+#: Elements of an array that are worked through one by one; longer arrays are cut into chunks.
+CHUNK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(values: Column) -> Column:
+    """Consecutive parts of an array that isn't empty, about as many as each has elements."""
+
+    def of(size: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * size + 1, size))
+
+    return _let(F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(values)))).cast("int"), of)
+
+
+def _running(values: Column, step) -> Column:
+    """For each whole number in an array, what ``step`` (a sum or maximum from 0) makes of those before it.
+
+    Long arrays are cut into chunks, whose totals are run through first, so
+    that the work grows with the 3/2 power of the length, by copying numbers
+    only. ``values`` is used several times, so it should be bound by ``_let``.
+    """
+
+    def one_by_one(some: Column, begin: Column) -> Column:
+        empty = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda s, v: F.struct(step(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(some, empty, add, lambda s: s["out"])
+
+    def in_chunks(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), step))
+        return F.flatten(F.zip_with(chunks, one_by_one(totals, F.lit(0)), one_by_one))
+
+    return F.when(F.size(values) <= CHUNK, one_by_one(values, F.lit(0))).otherwise(_let(_chunks(values), in_chunks))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def _found(text: Column, pattern: str, needs: str | None) -> Column:
@@ -51,22 +100,37 @@ def _found(text: Column, pattern: str, needs: str | None) -> Column:
 
 def _placed(found: Column, gaps: Column) -> Column:
     """Of matches and the texts between them: structs (start, stop, value, before)."""
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,value:string,before:string>>>"
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
-
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["value"])
-        one = F.struct(
-            start.alias("start"), stop.alias("stop"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(BEFORE_CHARS)).alias("before")
-        )
-        return F.struct(stop.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    empty = F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>")
+    lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.length(v) + F.length(g))
+
+    def spans(begins: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            start = F.get(begins, i) + F.length(gap)
+            return F.struct(
+                start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), F.right(gap, F.lit(BEFORE_CHARS)).alias("before")
+            )
+
+        return F.transform(found, one)
+
+    return F.when(F.size(found) > 0, _let(lengths, lambda x: _let(_running(x, _sum), spans))).otherwise(empty)
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """Of structs (start, stop, ...), those that have no place in common with any of ``others``."""
 
-    pairs = F.zip_with(
-        found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap"))
+    def kept(events: Column) -> Column:
+        # By the time a span stops, all others that begin before have been passed: does any of them reach beyond its start?
+        reach = _let(F.transform(events, lambda e: e["reach"]), lambda r: _running(r, _largest))
+        clear = lambda e, far: F.when(e["span"].isNotNull() & (far <= e["span"]["start"]), e["span"])
+        return F.filter(_let(reach, lambda far: F.zip_with(events, far, clear)), lambda s: s.isNotNull())
+
+    ends = F.transform(spans, lambda s: F.struct(s["stop"].cast("int").alias("at"), F.lit(0).alias("reach"), s.alias("span")))
+    nothing = F.filter(spans, lambda s: F.lit(False))
+    begins = F.transform(
+        others, lambda o: F.struct(o["start"].cast("int").alias("at"), o["stop"].cast("int").alias("reach"), F.get(nothing, F.lit(0)).alias("span"))
     )
-    placed = F.aggregate(pairs, empty, add, lambda s: s["out"])
-    return F.when(F.size(found) > 0, placed).otherwise(empty["out"])
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(F.sort_array(F.concat(ends, begins)), kept))
 
 
 def _digits(value: Column) -> Column:
@@ -127,14 +191,13 @@ def announced(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def seeds(kind: str) -> Column:
         return F.transform(F.filter(f"pii_{kind}", lambda s: _fits(kind, s["value"])), lambda s: one(s, F.lit(kind)))
 
-    def apart(span: Column, others: Column) -> Column:
-        return ~F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
-
     found = found.withColumn("pii_base", F.concat(*(seeds(k) for k in BASE)))
     found = found.withColumn("pii_token", F.transform("pii_token", lambda s: one(s, _seed_kind(s["value"]))))
-    secrets = F.filter("pii_token", lambda t: t["seed"] == SECRET)
-    base = F.filter("pii_base", lambda b: apart(b, secrets))
-    tokens = F.filter("pii_token", lambda t: t["seed"].isNotNull() | apart(t, F.col("pii_base")))
+    found = found.withColumn("pii_seeds", F.filter("pii_token", lambda t: t["seed"].isNotNull()))
+    found = found.withColumn("pii_others", F.filter("pii_token", lambda t: t["seed"].isNull()))
+    found = found.withColumn("pii_secrets", F.filter("pii_seeds", lambda t: t["seed"] == SECRET))
+    base = _apart(F.col("pii_base"), F.col("pii_secrets"))
+    tokens = F.concat("pii_seeds", _apart(F.col("pii_others"), F.col("pii_base")))
     spots = found.select(_digest(text).alias("digest"), F.explode(F.concat(base, tokens)).alias("t"))
     return stored(spots.select("digest", "t.pattern", "t.value", "t.seed").where("pattern <> ''").distinct(), "pii-announced")
 
@@ -143,30 +206,34 @@ def confident_patterns(spots: DataFrame) -> DataFrame:
     """pattern, kind: all announcing patterns of high confidence and the kind of identifier that follows them.
 
     Counts run over distinct pairs of a pattern and a value in all texts, so
-    copies count once.
+    copies count once. A pattern's confidence for a kind is the mean score of
+    the values after it, with a doubt of DOUBT values. Known values of the kind
+    score 1, others as far as any pattern before them is trusted. Values that
+    score CONFIDENT or more are known from the next round on.
     """
     pairs = stored(spots.groupBy("pattern", "value").agg(F.min("seed").alias("seed")), "pii-pairs")
-    kinds = pairs.where("seed is not null").select("pattern", F.col("seed").alias("kind")).distinct()
-    # Edges of the graph: pattern and token, for each kind that the pattern has seeds of.
-    edges = pairs.join(kinds, "pattern").withColumn("known", F.col("seed").isNotNull())
-    score = F.when(F.col("known"), (F.col("seed") == F.col("kind")).cast("double")).otherwise(F.coalesce("token_score", F.lit(0.0)))
-    scored = edges.withColumn("token_score", F.lit(0.0))
-    for turn in range(ROUNDS):
-        patterns = scored.groupBy("pattern", "kind").agg(
-            (F.sum(score) / (F.count(F.lit(1)) + DOUBT)).alias("confidence"),
-            F.sum(F.when(F.col("known") & (F.col("seed") == F.col("kind")), 1).otherwise(0)).alias("seeds"),
-            F.count(F.lit(1)).alias("tokens"),
+    totals = stored(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")), "pii-totals")
+    known = stored(pairs.where("seed is not null").select("value", F.col("seed").alias("kind")).distinct(), "pii-known")
+    unseen = pairs.where("seed is null").select("pattern", "value")
+    scores, before = known.withColumn("score", F.lit(1.0)), None
+    for _ in range(ROUNDS):
+        summed = pairs.join(scores, "value").groupBy("pattern", "kind").agg(
+            F.sum("score").alias("score"), F.sum(F.when(F.col("score") == 1, 1).otherwise(0)).alias("hits")
         )
-        if turn == ROUNDS - 1:
+        patterns = summed.where(F.col("hits") >= LEAST_TOKENS).join(totals, "pattern")
+        patterns = stored(patterns.select("pattern", "kind", (F.col("score") / (F.col("values") + DOUBT)).alias("confidence")), "pii-graph")
+        # A value is as doubtful as all the patterns before it together.
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
+        believed = unseen.join(patterns, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
+        others = stored(believed.join(known, ["value", "kind"], "left_anti"), "pii-believed")
+        fresh = others.where(F.col("score") >= CONFIDENT).select("value", "kind")
+        mark = patterns.agg(F.count(F.lit(1)), F.round(F.sum("confidence"), 2)).first()
+        if mark == before and not fresh.take(1):
             break
-        # A token is as doubtful as all the patterns before it together.
-        doubt = (
-            edges.where("not known").join(patterns.select("pattern", "kind", "confidence"), ["pattern", "kind"])
-            .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("token_score"))
-        )
-        scored = stored(edges.join(doubt, ["value", "kind"], "left"), "pii-graph")
-    sure = patterns.where((F.col("seeds") >= LEAST_TOKENS) & (F.col("confidence") >= CONFIDENT))
-    return stored(sure.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind"))).alias("kind")), "pii-patterns")
+        known, before = known.unionByName(fresh), mark
+        scores = known.withColumn("score", F.lit(1.0)).unionByName(others.where(F.col("score") < CONFIDENT))
+    best = F.min_by("kind", F.struct(-F.col("confidence"), F.col("kind")))
+    return stored(patterns.where(F.col("confidence") >= CONFIDENT).groupBy("pattern").agg(best.alias("kind")), "pii-patterns")
 
 
 def learn_patterns(docs: DataFrame, *, text: str = "text") -> dict[str, str]:
@@ -216,24 +283,68 @@ def find_pii(docs: DataFrame, patterns: dict[str, str] | DataFrame | None = None
 
     named = F.filter(F.transform("pii_token", lambda s: one(further_kind(s), s, False)), lambda s: s["kind"].isNotNull())
     found = found.withColumn("pii_base", base).withColumn("pii_further", named)
-    clear = F.filter(
-        "pii_further", lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    )
-    ordered = F.array_sort(clear)
+    ordered = F.array_sort(_apart(F.col("pii_further"), F.col("pii_base")))
     return found.select(*(F.col(f"`{c}`") for c in kept), F.concat("pii_base", ordered).alias("pii_spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Of structs (start, stop, kind) by start: those that no earlier one overlaps, up to where the ones that overlap them stop."""
+
+    def of(far: Column) -> Column:
+        first = F.filter(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(far, i), i)), lambda i: i.isNotNull())
+
+        def one(places: Column) -> Column:
+            def piece(i: Column, stop: Column) -> Column:
+                return F.struct(F.get(spans, i)["start"].alias("start"), stop.alias("stop"), F.get(spans, i)["kind"].alias("kind"))
+
+            last = F.size(places) - 1
+            ends = F.array_max(F.transform(spans, lambda s: s["stop"]))
+            inner = F.transform(F.slice(places, F.lit(1), last), lambda i, k: piece(i, F.get(far, F.get(places, k + 1))))
+            return F.concat(inner, F.array(piece(F.get(places, last), ends)))
+
+        return _let(first, one)
+
+    return _let(F.transform(spans, lambda s: s["stop"]), lambda stops: _let(_running(stops, _largest), of))
+
+
+def _rebuilt(text: Column, begin: Column, spans: Column, depth: int = 1) -> Column:
+    """``text``, which begins at the place ``begin`` and ends where the last of ``spans`` stops, with each of them replaced."""
+
+    def between(a: Column, b: Column) -> Column:
+        return F.substr(text, (a - begin + 1).cast("int"), (b - a).cast("int"))
+
+    def after(some: Column, i: Column) -> Column:
+        return F.when(i > 0, F.get(some, i - 1)["stop"]).otherwise(begin)
+
+    def plain(span: Column, i: Column) -> Column:
+        return F.concat(between(after(spans, i), span["start"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+    simple = F.array_join(F.transform(spans, plain), "")
+    if not depth:
+        return simple
+
+    def in_chunks(chunks: Column) -> Column:
+        def part(chunk: Column, i: Column) -> Column:
+            start = F.when(i > 0, F.element_at(F.get(chunks, i - 1), -1)["stop"]).otherwise(begin)
+            return _let(F.struct(start.alias("start"), between(start, F.element_at(chunk, -1)["stop"]).alias("text")), lambda c: _rebuilt(c["text"], c["start"], chunk, depth - 1))
+
+        return F.array_join(F.transform(chunks, part), "")
+
+    return F.when(F.size(spans) <= CHUNK, simple).otherwise(_let(_chunks(spans), in_chunks))
+
+
 def redact(found: DataFrame, *, text: str = "text") -> DataFrame:
-    """The rows of ``find_pii`` with each span in the text replaced by its kind in brackets; of touching spans, the first by start."""
-    spans = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def add(state: Column, span: Column) -> Column:
-        between = F.substr(F.col(text), (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.when(span["start"] < state["at"], F.struct(F.greatest(state["at"], span["stop"]).alias("at"), state["out"].alias("out"))).otherwise(
-            F.struct(span["stop"].alias("at"), F.concat(state["out"], between, mark).alias("out"))
-        )
+    """The rows of ``find_pii`` with each span in the text replaced by its kind in brackets.
+
+    Of overlapping spans, the first by start is named, and all that they cover
+    goes. A null text stays null; ``pii_spans`` goes, other columns stay.
+    """
+    value = F.col(f"`{text}`")
+    spans = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["stop"].cast("int").alias("stop"), s["kind"].alias("kind"))))
+
+    def whole(merged: Column) -> Column:
+        end = F.element_at(merged, -1)["stop"]
+        return F.concat(_rebuilt(F.substr(value, F.lit(1), end), F.lit(0), merged), F.substr(value, end + 1))
 
-    rebuilt = F.aggregate(spans, empty, add, lambda s: F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int"))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, rebuilt).otherwise(F.col(text))).drop("pii_spans")
+    rebuilt = _let(spans, lambda s: _let(_merged(s), whole))
+    return found.withColumn(text, F.when(F.size("pii_spans") > 0, rebuilt).otherwise(value)).drop("pii_spans")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -123,3 +124,42 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, x, "a"), (1, x, "a"), (2, x + " end", "b"), (None, y, "c"), (None, y, "c"), (5, None, "d"), (6, "", "e"), (6, " ", "e")]
     got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, gone_id string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, x, "a"), (None, y, "c"), (5, None, "d"), (6, "", "e"), (6, " ", "e")]))
+
+
+def test_accepted_tokens_teach_further_patterns(spark):
+    secret = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    token = lambda i: f"zq-77{i:04d}-x"
+    first = [f"a key: {secret(i)} b" for i in range(30)] + [f"a key: {token(i)} b" for i in range(4)]
+    second = [f"c ref# {token(i)} d" for i in range(4)]
+    third = ["c ref# uu-88123-y d", "e uu-88123-y f", "g no: 77-ab-12 h"]
+    got = found(spark, first + second + third)
+    n = len(first + second)
+    assert got[n] == [("learned_secret", "uu-88123-y")] and not got[n + 1] and not got[n + 2]
+
+
+def redacted_plainly(text, spans):
+    out, at = [], 0
+    for start, stop, kind in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rng = np.random.default_rng(3)
+    parts = ["+49 (30) 1234-5678", "10.0.0.1", "4111-1111 1111 1111", "a@b.c", "é", " ", "w ", "+1 10.0.0.1 22", "key: zq-771-x ", "1.2.3.4.5.6.7.8"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in [1, 3, 10, 40, 400, 3000] * 4]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    rows = pii.find_pii(df, {"key: ": "secret"}).cache()
+    spans = {r.doc_id: [(s.start, s.stop, s.kind) for s in r.pii_spans] for r in rows.collect()}
+    for r in pii.redact(rows).collect():
+        assert r.text == (redacted_plainly(texts[r.doc_id], spans[r.doc_id]) if r.doc_id < 99 else None)
+
+
+def test_time_grows_with_the_matches(spark):
+    texts = ["x@y.zz " * 100_000, "1." * 400_000, "+1 555 123 4567 key: ab1234567 10.0.0.1; " * 10_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    sizes = {r.doc_id: r.n for r in pii.redact(pii.find_pii(df)).selectExpr("doc_id", "length(text) as n").collect()}
+    assert sizes[0] == 800_000 and time.time() - start < 120
