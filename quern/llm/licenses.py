@@ -77,7 +77,7 @@ NOTICES = (
     ),
     Template(
         "apache-2.0-header",
-        "<<words:0-12>> licensed under the apache license version 2.0 <<optional>>the license<</optional>> you may not use"
+        "<<optional>>copyright <<words:1-8>><</optional>> licensed under the apache license version 2.0 <<optional>>the license<</optional>> you may not use"
         " this file except in compliance with the license you may obtain a copy of the license at",
     ),
 )
@@ -99,16 +99,15 @@ class Automaton:
         self._skip: list[list[int]] = []
         self._accepts: dict[int, int] = {}
         self.mandatory: list[int] = []
-        self.needs: list[frozenset[bytes]] = []
-        starts = []
+        starts, needs = [], []
         for number, template in enumerate(templates):
             first = self._state()
-            end, mandatory = self._compile(template.wording, first)
+            end, mandatory, groups = self._compile(template.wording, first)
             if self._reach({first}) & {end}:
                 raise ValueError(f"{template.label}: a template needs mandatory words")
             self._accepts[end] = number
             self.mandatory.append(len(mandatory))
-            self.needs.append(frozenset(mandatory))
+            needs.append(groups)
             starts.append(first)
         self._ids: dict[frozenset[int], int] = {}
         self._sets: list[frozenset[int]] = []
@@ -118,8 +117,9 @@ class Automaton:
         self.start = self._deterministic(self._reach(set(starts)))
         #: Words that begin a match; ANY if any word may.
         self.firsts = {w for s in self._sets[self.start] for w, _ in self._step[s]}
-        #: A text without any of these has no match: the longest mandatory word of each template.
-        self.keys = tuple({max(n, key=len) for n in self.needs if n})
+        #: A text without any of these has no match; None if a template can match without words of its own. Of each template,
+        #: its longest mandatory word, or a word of each of some alternatives.
+        self.keys = None if not all(needs) else tuple({w for groups in needs for w in max(groups, key=lambda g: min(map(len, g)))})
 
     def _state(self) -> int:
         self._step.append([])
@@ -133,8 +133,10 @@ class Automaton:
             at = new
         return at
 
-    def _compile(self, wording: str, at: int) -> tuple[int, list[bytes]]:
+    def _compile(self, wording: str, at: int) -> tuple[int, list[bytes], list[frozenset[bytes]]]:
+        """The end, the mandatory words, and groups of words of which a match has one each."""
         mandatory: list[bytes] = []
+        groups: list[frozenset[bytes]] = []
         open_at: list[int] = []
         for i, part in enumerate(_MARKUP.split(wording)):
             if i % 2 == 0:
@@ -163,12 +165,15 @@ class Automaton:
                 at = end
             else:
                 end = self._state()
-                for phrase in part[4:].split("|"):
-                    self._skip[self._chain(at, words_of(phrase))].append(end)
+                phrases = [words_of(phrase) for phrase in part[4:].split("|")]
+                for words in phrases:
+                    self._skip[self._chain(at, words)].append(end)
+                if not open_at and all(phrases):
+                    groups.append(frozenset(max(words, key=len) for words in phrases))
                 at = end
         if open_at:
             raise ValueError("an optional region isn't closed")
-        return at, mandatory
+        return at, mandatory, [*groups, *(frozenset([w]) for w in mandatory)]
 
     def _reach(self, states: set[int]) -> frozenset[int]:
         found, todo = set(states), list(states)
@@ -198,8 +203,11 @@ class Automaton:
         return new
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(template, start, end) for every place and template that accepts there, the longest of each."""
-        out = []
+        """(template, start, end) for every place and template that accepts there, the longest of each.
+
+        Of matches of a template that end together, as a replaceable or optional beginning gives them, only the longest counts.
+        """
+        out, seen = [], set()
         anywhere = self.ANY in self.firsts
         for start, word in enumerate(words):
             if not anywhere and word not in self.firsts:
@@ -209,7 +217,8 @@ class Automaton:
                 at += 1
                 for t in self.accepting[state]:
                     found[t] = at
-            out += ((t, start, end) for t, end in sorted(found.items()))
+            out += ((t, start, end) for t, end in sorted(found.items()) if (t, end) not in seen)
+            seen.update(found.items())
         return out
 
 
@@ -244,7 +253,7 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", templates: tuple[Templ
 
         def scan(value: str | None) -> tuple[int, list[dict]]:
             lowered = value.encode().translate(_LOWER) if value else b""
-            if not any(key in lowered for key in automaton.keys):
+            if automaton.keys is not None and not any(key in lowered for key in automaton.keys):
                 return count_words(lowered), []
             words = _WORD.findall(lowered)
             spans = [
