@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text, another on what is
-peculiar to toxic text. A text is cut into windows of a few words, and each
+One zstandard dictionary is trained on ordinary text, another on the words of
+toxic text that hold pieces peculiar to it (trained on toxic windows as they
+are, it mostly holds ordinary wording and finds far fewer toxic texts). A text is cut into windows of a few words, and each
 window is compressed with the ordinary dictionary alone and with the toxic one
 added. A window that gets shorter by the toxic dictionary is near to toxic
 text. This is done in two views: words as they are, and words with their
@@ -86,8 +87,8 @@ def _gram_counts(texts: list[str], head: int) -> tuple[Counter, int]:
 
 
 def _grams(word: bytes) -> set[bytes]:
-    spaced = b" " + word
-    return {spaced[i : i + GRAM] for i in range(len(spaced) - GRAM + 1)}
+    spaced = b" " + word + b" " if len(word) + 1 < GRAM else b" " + word
+    return {spaced[i : i + GRAM] for i in range(max(1, len(spaced) - GRAM + 1))}
 
 
 def toxic_samples(toxic: list[str], ordinary: list[str], head: int = 0) -> list[bytes]:
