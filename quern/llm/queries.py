@@ -106,13 +106,18 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", mixing.word_count(F.col("text")).alias("size")
     )
     mixed = mixing.sort_by_position(mixing.mix_curriculum(docs))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.size("positions").cast("long").alias("occurrences"),
+        F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position"),
+        F.round(F.try_element_at("positions", F.lit(-1)), 9).alias("last_position"),
+    )
 
 
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '')) AS ok
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -124,16 +129,33 @@ l AS (
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM r),
-t AS (SELECT source, source_size, round(least(source_size * 3.0::DOUBLE, max(lev) OVER () * w), 6) AS target FROM l),
+t0 AS (SELECT source, source_size, (w - 1)::INT AS k, round(least(source_size * 3.0::DOUBLE, max(lev) OVER () * w), 6) AS target FROM l),
+t AS (SELECT *, coalesce(sum(target) FILTER (WHERE k = 0) OVER (), 0) / nullif(sum(target) OVER (), 0) AS h0,
+             coalesce(sum(target) FILTER (WHERE k = 1) OVER (), 0) / nullif(sum(target) OVER (), 0) AS h1,
+             coalesce(sum(target) FILTER (WHERE k = 2) OVER (), 0) / nullif(sum(target) OVER (), 0) AS h2 FROM t0),
 c AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS q,
-         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+  SELECT d.*, t.source_size, t.target, t.k, t.h0, t.h1, t.h2, row_number() OVER () AS rid, floor(t.target + 0.5)::BIGINT AS q,
+         (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ok, doc_id, size
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0
-             ELSE (q // source_size) * size + least(greatest(q % source_size - before, 0), size) END)::BIGINT AS taken
-FROM c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT *, q // greatest(source_size, 1) AS whole, least(greatest(q % greatest(source_size, 1) - before, 0), size) AS part FROM c),
+y AS (
+  SELECT *, CASE WHEN size > 0 THEN whole + (part > 0)::INT ELSE 0 END::BIGINT AS occurrences FROM x),
+-- Shares of the schedule up to time u: u; 1.5 u - u^2 / 2; u / 2 + u^2 / 4 up to 1/2, then 5/16 + 3/4 (u - 1/2) + 5/4 (u - 1/2)^2.
+z AS (
+  SELECT *, before / q::DOUBLE AS s_first, (before + (occurrences - 1) * source_size) / q::DOUBLE AS s_last FROM y WHERE occurrences > 0),
+i AS (
+  SELECT z.*, CASE k WHEN 0 THEN s WHEN 1 THEN 1.5 - sqrt(2.25 - 2 * s)
+                     ELSE CASE WHEN s <= 0.3125 THEN sqrt(1 + 4 * s) - 1 ELSE 0.5 + (sqrt(0.5625 + 5 * (s - 0.3125)) - 0.75) / 2.5 END END::DOUBLE AS u, last
+  FROM (SELECT *, s_first AS s, false AS last FROM z UNION ALL SELECT *, s_last AS s, true AS last FROM z) z),
+p AS (
+  SELECT *, h0 * u + h1 * (1.5 * u - u * u / 2)
+            + h2 * CASE WHEN u <= 0.5 THEN u / 2 + u * u / 4 ELSE 0.3125 + 0.75 * (u - 0.5) + 1.25 * (u - 0.5) * (u - 0.5) END AS position FROM i),
+o AS (SELECT rid, max(position) FILTER (WHERE NOT last) AS first_position, max(position) FILTER (WHERE last) AS last_position FROM p GROUP BY rid)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE whole * size + part END::BIGINT AS taken, occurrences,
+       round(first_position, 9)::DOUBLE AS first_position, round(last_position, 9)::DOUBLE AS last_position
+FROM y LEFT JOIN o USING (rid)
 """
 
 
