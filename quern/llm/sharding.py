@@ -4,9 +4,10 @@ Method: a hypergeometric communication matrix. Rows lie in blocks (a hash of
 the row decides which). The number of rows that go from each block to each
 shard is drawn exactly, by multivariate hypergeometric draws without
 replacement from the shards' capacities, so that every assignment of rows to
-shards with the wanted shard sizes is equally likely. Each block is permuted
-and cut at the drawn counts, the rows are exchanged, and each shard is permuted
-again.
+shards with the wanted shard sizes is equally likely. The draws form a tree:
+the driver draws for large groups of blocks, executors for the blocks of each
+group. Each block is permuted and cut at the drawn counts, the rows are
+exchanged, and each shard is permuted again.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from quern.llm._common import own_name, without
 
 #: Rows that one task permutes at a time, about.
 BLOCK_ROWS = 20_000
+#: Blocks of a group, whose draws one task makes.
+GROUP_BLOCKS = 512
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -77,6 +80,22 @@ def capacities(rows: int, shards: int) -> list[int]:
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
+def _cuts(sizes: DataFrame, room: list[int], seed: int) -> DataFrame:
+    """Of blocks (block, rows): block, and where in its permuted rows each shard's end."""
+    group = F.floor(F.col("block") / GROUP_BLOCKS).cast("int")
+    grouped = sizes.withColumn("group", group)
+    totals = sorted(grouped.groupBy("group").agg(F.sum("rows").alias("rows")).collect())
+    matrix = communication_matrix([r["rows"] for r in totals], room, seed)
+    given = sizes.sparkSession.createDataFrame([(r["group"], row) for r, row in zip(totals, matrix.tolist())], "group int, room array<bigint>")
+
+    def draw(key, some):
+        some = some.sort_values("block")
+        drawn = communication_matrix(some["rows"].tolist(), list(some["room"].iloc[0]), seed + 1 + int(key[0]))
+        return some[["block"]].assign(ends=np.cumsum(drawn, axis=1).tolist())
+
+    return grouped.join(given, "group").groupBy("group").applyInPandas(draw, "block int, ends array<bigint>")
+
+
 def shard_rows(
     df: DataFrame, by: list[str], n_shards: int = 24, seed: int = 20240501, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -88,10 +107,22 @@ def shard_rows(
     interchangeable, nulls count as a value, an empty table stays empty, and
     input columns called shard or slot are replaced.
 
-    The driver holds the matrix: ``n_shards`` counts for every ``block_rows`` rows.
+    The driver draws ``n_shards`` counts for every GROUP_BLOCKS times
+    ``block_rows`` rows. If ``by`` names all columns, rows alike are counted
+    first and numbered, so that very many of them spread over the blocks; else
+    they share a block, so ``by`` should tell rows apart.
     """
-    spark = df.sparkSession
     df = without(df, ["shard", "slot"])
+    if {c.lower() for c in df.columns} <= {c.lower() for c in by}:
+        copy, times = own_name(df, "copy_no"), own_name(df, "copies")
+        counted = df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias(times))
+        numbered = counted.select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy))
+        return _dealt(numbered, [*by, copy], n_shards, seed, block_rows).drop(copy)
+    return _dealt(df, by, n_shards, seed, block_rows)
+
+
+def _dealt(df: DataFrame, by: list[str], n_shards: int, seed: int, block_rows: int) -> DataFrame:
+    spark = df.sparkSession
     n_rows = df.count()
     n_blocks = max(1, math.ceil(n_rows / block_rows))
     columns = [F.col(f"`{c}`") for c in df.columns]
@@ -102,11 +133,8 @@ def shard_rows(
         return F.xxhash64(F.lit(seed + salt), *keys)
 
     blocked = df.withColumn(block, F.pmod(mixed(1), F.lit(n_blocks)).cast("int"))
-    sizes = dict(blocked.groupBy(block).count().collect())
-    matrix = communication_matrix([sizes.get(b, 0) for b in range(n_blocks)], capacities(n_rows, n_shards), seed)
-    cuts = spark.createDataFrame(
-        [(b, row) for b, row in enumerate(np.cumsum(matrix, axis=1).tolist())], f"`{block}` int, `{ends}` array<bigint>"
-    )
+    cuts = _cuts(blocked.groupBy(F.col(block).alias("block")).agg(F.count(F.lit(1)).alias("rows")), capacities(n_rows, n_shards), seed)
+    cuts = cuts.select(F.col("block").alias(block), F.col("ends").alias(ends))
     in_block = Window.partitionBy(block).orderBy(mixed(2), *keys)
     dealt = (
         blocked.withColumn(rank, F.row_number().over(in_block).cast("long") - 1)
@@ -135,8 +163,14 @@ def shard_rows(
     )
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows of each shard, in slot order, under ``path/shard=N``."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy(
-        "shard"
-    ).parquet(path)
+def write_shards(sharded: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write the rows of each shard under ``path/shard=N``, in files that hold consecutive slots in order.
+
+    Rows are dealt by ranges of shard and slot, so that tasks get about equal
+    numbers of rows whatever the number of shards is. An empty table writes no
+    shard; rows with a null shard or slot, which ``shard_rows`` never gives,
+    come first.
+    """
+    keys = ["shard", "slot"]
+    ranged = sharded.repartitionByRange(partitions, *keys) if partitions else sharded.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("shard").parquet(path)

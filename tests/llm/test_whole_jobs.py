@@ -7,7 +7,9 @@ import time
 import numpy as np
 import pytest
 
-from quern.llm import fingerprints, ngram_join, pii, queries
+from pyspark.sql import functions as F
+
+from quern.llm import fingerprints, licenses, mixing, ngram_join, pii, queries, sharding
 
 
 def found(spark, texts):
@@ -163,3 +165,81 @@ def test_time_grows_with_the_matches(spark):
     start = time.time()
     sizes = {r.doc_id: r.n for r in pii.redact(pii.find_pii(df)).selectExpr("doc_id", "length(text) as n").collect()}
     assert sizes[0] == 800_000 and time.time() - start < 120
+
+
+def test_templates_of_alternatives_alone(spark):
+    t = licenses.Template("free", "<<any:public domain|unlicense>>")
+    for templates in ((t,), (*licenses.BASE, t)):
+        df = spark.createDataFrame([(1, "released to the public domain now"), (2, "The Unlicense."), (3, "domain public")], "doc_id long, text string")
+        got = {r.doc_id: [(s.label, s.start, s.stop) for s in r.license_spans] for r in licenses.scan_licenses(df, templates=templates).collect()}
+        assert got == {1: [("free", 3, 5)], 2: [("free", 1, 2)], 3: []}
+
+
+def expression(wording):
+    """A template as a regular expression over words joined by blanks, a blank before each word."""
+    out = []
+    for i, part in enumerate(re.split(r"<<(optional|/optional|words:\d+-\d+|any:[^<>]+)>>", wording)):
+        plain = lambda s: "".join(" " + w.decode() for w in licenses.words_of(s))
+        if i % 2 == 0:
+            out.append(re.escape(plain(part)))
+        elif part == "optional":
+            out.append("(?:")
+        elif part == "/optional":
+            out.append(")?")
+        elif part.startswith("words:"):
+            out.append(r"(?: [^ ]+){%s,%s}" % tuple(part[6:].split("-")))
+        else:
+            out.append("(?:" + "|".join(re.escape(plain(x)) for x in part[4:].split("|")) + ")")
+    return re.compile("".join(out) + r"(?= |$)")
+
+
+def test_labels_and_scores_against_expressions(spark, sf, tmp_path):
+    rng = np.random.default_rng(9)
+    words = sorted({w for t in licenses.TEMPLATES for w in re.findall(r"[a-z0-9.]+", re.sub(r"<<(?!any)[^>]*>>|<<any:|>>|\|", " ", t.wording))})
+    texts = []
+    for t in licenses.TEMPLATES * 6:
+        text = re.sub(r"<<any:([^<>]+)>>", lambda m: m[1].split("|")[rng.integers(m[1].count("|") + 1)], t.wording)
+        text = re.sub(r"<<optional>>(.*?)<</optional>>", lambda m: m[1] if rng.random() < 0.5 else "", text)
+        text = re.sub(r"<<words:(\d+)-(\d+)>>", lambda m: " any" * int(rng.integers(int(m[1]), int(m[2]) + 1)), text).split()
+        if rng.random() < 0.3:
+            text[rng.integers(len(text))] = str(rng.choice(words))
+        texts.append("It is: " + ", ".join(text).title() + " - so")
+    docs = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    mandatory = dict(zip([t.label for t in licenses.TEMPLATES], licenses.Automaton(licenses.TEMPLATES).mandatory))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    labels = set()
+    for r in queries.op1_license_templates(spark, str(tmp_path)).collect():
+        joined = "".join(" " + w.decode() for w in licenses.words_of(rows[r.doc_id] or ""))
+        want = {t.label for t in licenses.TEMPLATES if expression(t.wording).search(joined)}
+        most = max((mandatory[x] for x in want), default=0)
+        assert (r.labels, r.score) == (",".join(sorted(want)), most / (most + 2))
+        labels |= want
+    assert labels == set(mandatory)
+
+
+def test_shards_of_equal_rows_and_written_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP_BLOCKS", 3)
+    rows = spark.range(500).select((F.col("id") % 3).alias("doc_id")).unionByName(spark.createDataFrame([(None,)] * 300, "doc_id long"))
+    got = sharding.shard_rows(rows, ["doc_id"], 7, block_rows=20)
+    again = sharding.shard_rows(rows.repartition(3), ["doc_id"], 7, block_rows=20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    slots = {}
+    for r in got.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(map(len, slots.values())) == [114, 114, 114, 114, 114, 115, 115] and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sharding.write_shards(got, f"{tmp_path}/shards", 9)
+    read = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, read.select("doc_id", "shard", "slot").collect())) == sorted(map(str, got.collect()))
+    files = read.groupBy(F.input_file_name().alias("f"), "shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b")).collect()
+    assert len(files) > 7 and all(r.b - r.a + 1 == r.n for r in files)
+    sharding.write_shards(got.where("false"), f"{tmp_path}/none")
+
+
+def test_equal_steps_of_position_hold_equal_words(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"), F.lit(100).alias("size"), F.lit("x").alias("position"), F.lit(1).alias("taken"))
+    mixed = mixing.training_rows(mixing.mix_curriculum(docs))
+    at = np.array([r.position for r in mixed.collect()])
+    assert mixed.columns == ["doc_id", "source", "size", "position"]
+    assert abs(np.histogram(at, 10, (0, 1))[0] / len(at) - 0.1).max() < 0.005
