@@ -16,29 +16,42 @@ from quern.llm.queries import RANKS, held_out
 LEAST_QUALITY = 0.7
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns ``used`` as they are and all others in one, so that no name clashes with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_none"), *others).alias("_others"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return df.select(*(F.col(c) if c in used else F.col(f"_others.`{c}`") for c in docs.columns))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on the labelled ones outside the held-out fold."""
     labels = read_table(spark, sf_dir, "labels").where(~held_out(4, 2))
     forest = quality.fit_quality(docs, labels)
-    scored = quality.score_quality(docs, forest, score="quality_score", keep_text=True)
-    return scored.where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score_quality(packed(docs, "doc_id", "text"), forest, score="quality_score", keep_text=True)
+    return unpacked(scored.where(F.col("quality_score") >= LEAST_QUALITY), docs, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one of smallest number."""
-    return ngram_join.one_of_each(docs).select(*docs.columns)
+    """Of each group of documents that links connect, one of the smallest number."""
+    return ngram_join.one_of_each(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
-    redacted = pii.redact(pii.find_pii(docs))
-    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    redacted = pii.redact(pii.find_pii(packed(docs, "text")))
+    if "n_chars" not in docs.columns:
+        return unpacked(redacted, docs, "text")
+    return unpacked(redacted.withColumn("n_chars", F.length("text").cast("long")), docs, "text", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in order of their training positions."""
-    sized = docs.withColumn("mix_words", mixing.word_count(F.col("text")))
-    return mixing.training_rows(mixing.mix_curriculum(sized, size="mix_words")).select(*docs.columns)
+    sized = packed(docs, "doc_id", "source", "text").withColumn("mix_words", mixing.word_count(F.col("text")))
+    return unpacked(mixing.training_rows(mixing.mix_curriculum(sized, size="mix_words")), docs, "doc_id", "source", "text")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
