@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.shared import stored
 
+#: Edges that one task may join into components; it holds two numbers for each.
+SMALL_EDGES = 250_000
+
 
 def undirected(edges: DataFrame, src: str, dst: str, position: str) -> DataFrame:
     """Edges without loops, each undirected one once, at its first position: a, b, pos."""
@@ -27,14 +33,36 @@ def neighbour_lists(edges: DataFrame, src: str, dst: str, dist: str) -> DataFram
     return edges.groupBy(src).agg(F.sort_array(F.collect_list(F.struct(F.col(dist).alias("dist"), F.col(dst).alias("dst")))).alias("near"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (u, v): each number that isn't the least of its component, and that one."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = sorted((root(u), root(v)))
+            if a != b:
+                above[b] = a
+    found = [(x, root(x)) for x in list(above)]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["id", "root"])
+
+
 def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id`` and ``root``, the least number that edges lead to, of all numbers that have edges to others and aren't roots.
 
-    Large and small stars in turn: each node's neighbours above it, then those
+    Up to SMALL_EDGES edges are joined by one task. More are joined by large
+    and small stars in turn, by all tasks: each node's neighbours above it, then those
     below, are hung onto its least neighbour, until nothing changes. The number
     of rounds grows with the logarithm of a component's diameter.
     """
-    now = stored(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "stars")
+    now = stored(edges.select(F.greatest(src, dst).cast("long").alias("u"), F.least(src, dst).cast("long").alias("v")).where("u <> v").distinct(), "stars")
+    if now.count() <= SMALL_EDGES:
+        return now.coalesce(1).mapInArrow(_joined, "id long, root long")
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
