@@ -48,7 +48,7 @@ MAX_MATRIX = 1 << 31
 #: Identifiers that are broadcast, at most.
 MAX_BROADCAST = 500_000
 #: Sets of a part of a wide shingle or large block, and shingles of its sets, about.
-PART_SETS, PART_SHINGLES = 1024, 1 << 20
+PART_SETS, PART_SHINGLES = 1024, 1 << 22
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -274,9 +274,10 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def hot_shingles(docs: DataFrame, doc_id: str, text: str) -> np.ndarray:
+def hot_shingles(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles that are frequent in a bounded sample of documents, sorted. They only order the shingles."""
-    sample = docs.orderBy(F.xxhash64(F.lit(3), doc_id), doc_id).limit(HOT_DOCS).select(text)
+    # The texts of the sample stay where they are; only counts of shingles move.
+    sample = docs.select(text).sample(min(1.0, HOT_DOCS / max(1, docs.count())), seed=3)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +395,7 @@ def _span(name, rows):
 
 def _finish(name, rows):
     """Of rows (block, x, set): the links that join all that hang together."""
-    some = sorted(((np.frombuffer(r[2], np.uint64), r[1]) for r in rows), key=lambda r: (len(r[0]), r[1]))
+    some = sorted(((np.frombuffer(s, np.uint64), x) for x, s in {r[1]: r[2] for r in rows}.items()), key=lambda r: (len(r[0]), r[1]))
     for x, y in exact_links([r[0] for r in some]):
         yield name, some[x][1], some[y][1]
 
@@ -430,7 +431,8 @@ def _flag(name, rows):
 
 def _link(name, rows):
     """The links of a cell that join what doesn't hang together yet."""
-    at = {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: r[3]))}
+    rows = list({(r[1], r[2]): r for r in rows}.values())
+    at = {r[2]: i for i, r in enumerate(rows)}
     union, first = Union(len(rows)), {}
     for r in rows:
         union.join(at[r[2]], first.setdefault(r[3], at[r[2]]))
@@ -440,19 +442,27 @@ def _link(name, rows):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(x, set) of the classes in ``wanted`` (x, digest, least_id), from the texts of ``docs`` (doc_id, text)."""
+    """(x, set) of the classes in ``wanted`` (x, digest, least_id), from the texts of ``docs`` (doc_id, text).
+
+    A task gives each set once, but different tasks may give the same one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])
+            out = {}
+            for t in batch.column(1).to_pylist():
+                some = shingles(t).tobytes()
+                digest = xxhash.xxh3_128_digest(some)
+                if digest not in seen:
+                    seen.add(digest)
+                    out[digest] = some
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "set"])
 
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     some = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("least_id")), "left_semi").select("doc_id", "text")
-    found = some.mapInArrow(run, "digest binary, set binary").join(wanted.select("x", "digest"), "digest")
-    return found.groupBy("x").agg(F.min("set").alias("set"))
+    return some.mapInArrow(run, "digest binary, set binary").join(wanted, "digest").select("x", "set")
 
 
 def _by(df: DataFrame, finish, *order: str) -> DataFrame:
@@ -471,10 +481,21 @@ def _dealt(salt: int, *keys) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(salt), *keys), F.col("parts"))
 
 
-def _wide(postings: DataFrame) -> DataFrame:
-    """The keys of more than PART_SETS postings."""
-    counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
-    return stored(counted.where(F.col("many") > PART_SETS), "wide")
+def _wide(sets: DataFrame) -> DataFrame:
+    """(key, many) of the keys that more than PART_SETS rows of ``sets`` have.
+
+    Keys are counted by their lowest bits first, about two values for each row,
+    so that less is moved; then the keys of the values that are frequent enough.
+    """
+    keys = sets.select(F.explode("keys").alias("key"))
+    mask = (1 << max(10, (2 * max(1, sets.count()) - 1).bit_length())) - 1
+    low = F.col("key").bitwiseAND(F.lit(mask).cast("long"))
+    frequent = keys.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
+    frequent = stored(frequent.select("low"), "low")
+    n = frequent.count()
+    some = keys.withColumn("low", low).join(F.broadcast(frequent) if n <= MAX_BROADCAST else frequent, "low", "left_semi")
+    counted = some.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
+    return stored(counted if n else counted.where("false"), "wide")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -552,16 +573,20 @@ def components_of_rows(docs: DataFrame, doc_id: str, text: str, mark: F.Column)
     """doc_id, ``mark``, n (size of the set), root (of the row's component) and component (its least number) of every row."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.cast("binary").alias("mark"))
-    sets = shingle_sets(rows, hot_shingles(rows, "doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
+    sets = shingle_sets(rows, hot_shingles(rows, "text")).withColumn("row", F.monotonically_increasing_id())
     sets = stored(sets, "shingles")
     # The rows are stored, so that their places are fixed numbers: that of its first row names a class.
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("x"), F.min("doc_id").alias("least_id"), F.min("n").alias("n"))
     classes = stored(classes, "classes")
-    firsts = sets.join(classes.select("x"), F.col("row") == F.col("x"), "left_semi").withColumnRenamed("row", "x")
+    few = classes.count() <= MAX_BROADCAST
+    first = F.broadcast(classes.select("x")) if few else classes.select("x")
+    firsts = sets.join(first, F.col("row") == F.col("x"), "left_semi").select(F.col("row").alias("x"), "n", "small", "keys", "bits")
+    # Where the join moves the rows, it does so once.
+    firsts = firsts if few else stored(firsts, "firsts")
     postings = firsts.select("x", "n", "small", F.posexplode("keys").alias("at", "key"))
     postings = postings.select("key", "x", F.when(F.col("at") < F.col("small"), F.col("n")).otherwise(-F.col("n")).alias("signed"))
     # Copies count here too; that makes no more than a part of its own of a short list.
-    wide = _wide(sets.select(F.explode("keys").alias("key")))
+    wide = _wide(sets)
     n_wide = wide.count()
     named = F.broadcast(wide) if n_wide <= MAX_BROADCAST else wide
     narrow = postings.join(named, "key", "left_anti") if n_wide else postings
