@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import registry
+from quern.operators import graphs
 from quern.plans import storage
 from quern.registry import table
 from tests.compare import assert_same, database
@@ -66,3 +67,12 @@ def test_no_subset(spark, sf, name, n):
     df = registry.queries()[name](spark, sf)
     assert df.count() == (n or 3 * table(spark, sf, "events").count())
     assert_same(database(sf), df, registry.oracle_sql()[name])
+
+
+def test_components_by_one_task_and_by_stars(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(i, i + 1) for i in range(500, 540)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    one = sorted(graphs.component_roots(frame).collect())
+    monkeypatch.setattr(graphs, "SMALL_EDGES", 0)
+    assert one == sorted(graphs.component_roots(frame).collect()) and len(one) > 100
