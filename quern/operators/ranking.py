@@ -7,10 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.shared import stored
+
 #: The score of what has a truth but no prediction.
 UNSCORED = -1e5
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place (long, from 0) of each row in the whole order, without sorting in one task.
+
+    Rows are dealt by ranges of the order and stored; each range is numbered by
+    itself, after the rows of the ranges before it. The order should tell all
+    rows apart. One row for each range goes to the driver's broadcast.
+    """
+    held = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    bases = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return held.join(F.broadcast(bases), "_range").withColumn(name, place.cast("long")).drop("_range", "_base")
+
+
 def merge_truth(scored: DataFrame, truth: DataFrame, keys: list[str], score: str = "score", level: str = "level") -> DataFrame:
     """Truth with its predictions: score (UNSCORED where there's none) and label, whether the level is above 0."""
     return truth.join(scored, keys, "left").select(
@@ -42,8 +59,8 @@ def precision_recall(df: DataFrame, score: str, label: str, ties: list[str]) ->
 
 def blend(df: DataFrame, first: str, second: str, ties: list[str]) -> DataFrame:
     """The mean of the ranks by two scores, and how far apart they are."""
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), *ties)).cast("long")
-    ranked = df.withColumn("r1", rank(first)).withColumn("r2", rank(second))
+    ranked = numbered(numbered(df, [F.desc(first), *map(F.col, ties)], "r1"), [F.desc(second), *map(F.col, ties)], "r2")
+    ranked = ranked.withColumns({"r1": F.col("r1") + 1, "r2": F.col("r2") + 1})
     return ranked.select(*ties, ((F.col("r1") + F.col("r2")) / 2).alias("blend"), F.abs(F.col("r1") - F.col("r2")).alias("apart"))
 
 
@@ -70,9 +87,8 @@ def random_page_threshold(df: DataFrame, score: str, q: float) -> DataFrame:
 
 def evenly_spaced(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """``k`` rows at equal steps through the ordered list, its first and last included."""
-    place = F.row_number().over(Window.orderBy(*order)).cast("long") - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    ordered = df.withColumn("place", place).withColumn("_n", n)
+    placed = numbered(df, order, "place")
+    ordered = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n"))))
     steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(float(max(k - 1, 1)))).cast("long"))
     return ordered.where(F.array_contains(steps, F.col("place"))).drop("_n")
 
@@ -87,9 +103,9 @@ def keep_last(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return first_per_class(df, key, [c.desc() for c in order], 1)
 
 
-def chunk_number(order: list[Column], size: int) -> Column:
-    """The number of a row's chunk of ``size`` consecutive rows."""
-    return F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long")
+def with_chunk(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """``df`` with ``chunk``, the number of a row's chunk of ``size`` consecutive rows."""
+    return numbered(df, order, "_place").withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
 def chunk_size(rows: int, chunks: int) -> int:
@@ -98,11 +114,8 @@ def chunk_size(rows: int, chunks: int) -> int:
 
 def nearest_rank(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
     """Quantiles as values of the sorted list at place q (n - 1), rounded half to even."""
-    ordered = df.where(F.col(value).isNotNull()).select(
-        F.col(value).alias("value"),
-        (F.row_number().over(Window.orderBy(value)) - 1).cast("long").alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
-    )
+    placed = numbered(df.where(F.col(value).isNotNull()).select(F.col(value).alias("value")), [F.col("value")], "place")
+    ordered = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("n"))))
     wanted = F.explode(F.array(*(F.lit(float(q)) for q in qs)))
     return ordered.select("*", wanted.alias("q")).where(F.col("place") == F.bround(F.col("q") * (F.col("n") - 1)).cast("long")).select("q", "value")
 

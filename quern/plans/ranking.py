@@ -62,7 +62,7 @@ def first_n_per_class(spark, sf_dir):
 
 @query("SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 300)::BIGINT AS chunk FROM events")
 def chunk_id(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", ranking.chunk_number([F.col("event_id")], 300).alias("chunk"))
+    return ranking.with_chunk(table(spark, sf_dir, "events").select("event_id"), [F.col("event_id")], 300)
 
 
 @query("SELECT bool_and(coalesce(ok, true)) AS is_sorted FROM (SELECT ts >= lag(ts) OVER (ORDER BY event_id) AS ok FROM events)")
@@ -158,3 +158,20 @@ def index_conversion(spark, sf_dir):
     flat = F.col("event_id") % 60
     i, j = F.floor(flat / 6).cast("long"), flat % 6
     return table(spark, sf_dir, "events").select("event_id", i.alias("i"), j.alias("j"), (j * 10 + i).alias("by_column"))
+
+
+@query("SELECT o_custkey, list_sort(list(o_orderkey)) AS keys FROM orders GROUP BY 1")
+def sorted_lists(spark, sf_dir):
+    return _orders(spark, sf_dir).groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, abs(l_extendedprice / l_quantity * l_quantity - l_extendedprice) <= 1e-7 AS same, abs(l_discount - l_tax) <= 0.015 AS alike FROM lineitem")
+def approximate_equality(spark, sf_dir):
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    same = arrays.nearly_equal(price / quantity * quantity, price)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", same.alias("same"), arrays.nearly_equal(F.col("l_discount"), F.col("l_tax"), 0.015).alias("alike"))
+
+
+@query("SELECT c_custkey, round(3.58 - log10(1 + (c_custkey % 700) / 100.0::DOUBLE), 9) AS c0 FROM customer")
+def rest_frame_shift(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(sky.rest_start(F.lit(3.58), F.col("c_custkey") % 700 / F.lit(100.0)), 9).alias("c0"))

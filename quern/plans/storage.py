@@ -84,3 +84,19 @@ def file_key(spark, sf_dir):
 @query()
 def sampled_rows(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").sample(0.1, seed=7).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey BETWEEN 10 AND 40")
+def sorted_copy(spark, sf_dir):
+    path = scratch(spark)
+    tables.write_sorted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), path, ["o_custkey"])
+    return tables.scan(spark, path, ["o_orderkey", "o_custkey", "o_orderpriority"], "o_custkey BETWEEN 10 AND 40")
+
+
+@query("SELECT n_name, r_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def csv_sink(spark, sf_dir):
+    path = scratch(spark)
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counted = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"))
+    tables.write_csv(counted, path)
+    return spark.read.csv(path, header=True, schema=counted.schema)
