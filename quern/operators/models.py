@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranking import numbered
+
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """``weight`` 1 / size of the class, scaled to mean 1."""
@@ -78,9 +80,9 @@ def regression_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``fold`` 0 to k - 1: consecutive parts of equal size of a random order that the key and seed decide."""
-    order = Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return df.withColumn("fold", F.floor((F.row_number().over(order) - 1) / F.ceil(n / k)).cast("int"))
+    placed = numbered(df, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "_place")
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_rows"))))
+    return placed.withColumn("fold", F.floor(F.col("_place") / F.ceil(F.col("_rows") / k)).cast("int")).drop("_place", "_rows")
 
 
 def query_by_margin(probabilities: DataFrame, key: str, label: str, p: str, n: int) -> DataFrame:

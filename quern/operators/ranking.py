@@ -13,19 +13,30 @@ from quern.shared import stored
 UNSCORED = -1e5
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` dealt by ranges of the order and stored, with ``_range``, the number of a row's range."""
+    return stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the place (long, from 0) of each row in the whole order, without sorting in one task.
 
     Rows are dealt by ranges of the order and stored; each range is numbered by
     itself, after the rows of the ranges before it. The order should tell all
-    rows apart. One row for each range goes to the driver's broadcast.
+    rows apart. ``sums`` names columns and what their running sums, the row's
+    own value included, are to be called. One row for each range is broadcast.
     """
-    held = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sums = sums or {}
+    held = _ranges(df, order)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    bases = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    place = F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return held.join(F.broadcast(bases), "_range").withColumn(name, place.cast("long")).drop("_range", "_base")
+    within = Window.partitionBy("_range").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_base"), *(F.sum(c).alias(f"_base_{n}") for c, n in sums.items()))
+    bases = ["_base", *(f"_base_{n}" for n in sums.values())]
+    bases = sizes.select("_range", *(F.coalesce(F.sum(b).over(before), F.lit(0)).alias(b) for b in bases))
+    columns = {name: (F.col("_base") + F.row_number().over(within) - 1).cast("long")}
+    columns |= {n: F.col(f"_base_{n}") + F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c, n in sums.items()}
+    return held.join(F.broadcast(bases), "_range").withColumns(columns).drop("_range", *bases.columns[1:])
 
 
 def merge_truth(scored: DataFrame, truth: DataFrame, keys: list[str], score: str = "score", level: str = "level") -> DataFrame:
@@ -49,11 +60,8 @@ def tie_aware_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def precision_recall(df: DataFrame, score: str, label: str, ties: list[str]) -> DataFrame:
     """Precision and recall after each row in descending order of score."""
-    order = Window.orderBy(F.desc(score), *ties)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.select(
-        F.row_number().over(order).alias("k"), F.col(label), F.sum(label).over(so_far).alias("hits"), F.sum(label).over(Window.partitionBy()).alias("all")
-    )
+    ranked = numbered(df, [F.desc(score), *map(F.col, ties)], "k", {label: "hits"}).withColumn("k", F.col("k") + 1)
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("hits").alias("all"))))
     return ranked.select("k", label, (F.col("hits") / F.col("k")).alias("prec"), F.try_divide("hits", "all").alias("recall"))
 
 
@@ -121,6 +129,19 @@ def nearest_rank(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
 
 
 def is_sorted(df: DataFrame, order: list[Column], value: str, *, descending: bool = False) -> DataFrame:
-    before = F.lag(value).over(Window.orderBy(*order))
-    fits = F.col(value) <= before if descending else F.col(value) >= before
-    return df.select(F.coalesce(fits, F.lit(True)).alias("fits")).agg(F.bool_and("fits").alias("is_sorted"))
+    """Whether ``value`` never falls (or rises) from one row to the next; nulls fit anywhere, and an empty table gives null.
+
+    Each range of the order is looked at by itself; then the first value of a
+    range is compared with the last one of the range before, a row for each range.
+    """
+
+    def fits(before: Column, now: Column) -> Column:
+        return F.coalesce(now <= before if descending else now >= before, F.lit(True))
+
+    within = Window.partitionBy("_range").orderBy(*order)
+    held = _ranges(df, order).select("_range", F.col(value).alias("_v"), F.lag(value).over(within).alias("_before"), F.row_number().over(within).alias("_at"))
+    ranges = held.groupBy("_range").agg(
+        F.bool_and(fits(F.col("_before"), F.col("_v"))).alias("fits"), F.min_by("_v", "_at").alias("first"), F.max_by("_v", "_at").alias("last")
+    )
+    met = fits(F.lag("last").over(Window.orderBy("_range")), F.col("first"))
+    return ranges.select((F.col("fits") & met).alias("fits")).agg(F.bool_and("fits").alias("is_sorted"))

@@ -108,6 +108,13 @@ def effective_rank_whole(spark, sf_dir):
     return spark.createDataFrame([(moments.effective_rank(np.diag(cov), 0.9),)], "eff_rank long")
 
 
+@query()
+def effective_rank_eigen(spark, sf_dir):
+    """How many principal components hold nine tenths of the variance."""
+    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", WHOLE)
+    return spark.createDataFrame([(moments.effective_rank(np.linalg.eigvalsh(cov), 0.9),)], "eff_rank long")
+
+
 @query(_whole(_FIT_SQL))
 def nbayes_fit_whole(spark, sf_dir):
     return _fitted(spark, sf_dir, WHOLE)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import registry
-from quern.operators import graphs
+from quern.operators import graphs, models, ranking
 from quern.plans import storage
 from quern.registry import table
 from tests.compare import assert_same, database
@@ -44,6 +44,8 @@ def test_whole_vectors_against_numpy(spark, sf):
     assert np.allclose(square("weighted_mean_cov_whole"), np.cov(x.T, bias=True, aweights=label + 1) + 0.001 * np.eye(64), atol=2e-7)
     energy = np.sort(np.diag(cov))[::-1]
     assert run("effective_rank_whole")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
+    energy = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    assert run("effective_rank_eigen")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
     got = {r.label: r for r in run("factor_models")}
     for k in np.unique(label):
         left = np.linalg.svd(np.abs(x[label == k]), compute_uv=False)[2:]
@@ -76,3 +78,38 @@ def test_components_by_one_task_and_by_stars(spark, monkeypatch):
     one = sorted(graphs.component_roots(frame).collect())
     monkeypatch.setattr(graphs, "SMALL_EDGES", 0)
     assert one == sorted(graphs.component_roots(frame).collect()) and len(one) > 100
+
+
+def _lone_windows(df):
+    """Windows over all rows of a table: those that have no partition but more than a row for each range."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [w for w in plan.splitlines() if "Window " in w and "_range" not in w]
+
+
+@pytest.mark.parametrize("values, up, down", [([1, 2, 2, 9], True, False), ([3, 1], False, True), ([1, None, 0], True, True), ([], None, None), ([5], True, True)])
+def test_sortedness_of_ranges(spark, values, up, down):
+    df = spark.createDataFrame(list(enumerate(values)), "at int, v int")
+    assert ranking.is_sorted(df, [F.col("at")], "v").first()[0] is up
+    assert ranking.is_sorted(df, [F.col("at")], "v", descending=True).first()[0] is down
+
+
+@pytest.mark.parametrize("wrong", [None, 1, 250, 500, 999])
+def test_one_fall_is_seen_in_any_range(spark, wrong):
+    df = spark.range(1000).select("id", F.when(F.col("id") == F.lit(wrong), F.lit(-1)).otherwise(F.col("id")).alias("v"))
+    assert ranking.is_sorted(df, [F.col("id")], "v").first()[0] is (wrong is None)
+
+
+def test_whole_orders_take_no_single_task(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(s), int(y)) for i, (s, y) in enumerate(zip(rng.integers(0, 40, 500), rng.integers(0, 2, 500), strict=True))]
+    df = spark.createDataFrame(rows, "id int, score double, label int")
+    points = ranking.precision_recall(df, "score", "label", ["id"])
+    hits = np.cumsum([y for _, _, y in sorted(rows, key=lambda r: (-r[1], r[0]))])
+    got = {r.k: (r.prec, r.recall) for r in points.collect()}
+    assert got == {k: (h / k, h / hits[-1]) for k, h in enumerate(hits.tolist(), 1)}
+    found = models.folds(df, "id", 7)
+    sizes = sorted(r["count"] for r in found.groupBy("fold").count().collect())
+    assert sizes == [68, 72, 72, 72, 72, 72, 72] and sorted(r.id for r in found.collect()) == list(range(500))
+    assert not _lone_windows(points) and not _lone_windows(found)
+    empty = df.where("false")
+    assert not ranking.precision_recall(empty, "score", "label", ["id"]).count() and not models.folds(empty, "id", 7).count()
