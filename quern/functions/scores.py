@@ -32,3 +32,12 @@ def unit_hash(*keys: Column) -> Column:
 def ranked_where_unsupported(score: Column, floor: Column, *keys: Column) -> Column:
     """``score``; where it's null, a value below ``floor`` that depends on the keys."""
     return F.coalesce(score, floor - 1.0 - unit_hash(*keys))
+
+
+#: The level of a risk category, by how its name begins.
+RISK_LEVELS = {"Small": 1, "Moderate": 2, "Large": 3}
+
+
+def risk_level(category: Column) -> Column:
+    """The level of a risk category; null for other names."""
+    return F.coalesce(*(F.when(category.startswith(name), level) for name, level in RISK_LEVELS.items()))

@@ -98,3 +98,12 @@ def filtered(df: DataFrame, *conditions: Column | None) -> DataFrame:
         if condition is not None:
             df = df.where(condition)
     return df
+
+
+def join_by_place(catalogue: DataFrame, rows: DataFrame, file: str, index: str, order: list[Column]) -> DataFrame:
+    """``catalogue`` with the row of its file at its ``index`` (from 1); rows of ``rows`` are counted within each file in ``order``.
+
+    An index that the file doesn't have, or a null file or index, gives no row.
+    """
+    placed = rows.withColumn(index, F.row_number().over(Window.partitionBy(file).orderBy(*order)))
+    return catalogue.join(placed, [file, index])

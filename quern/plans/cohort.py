@@ -199,3 +199,21 @@ def cooc_by_person(spark, sf_dir):
     return intervals.interval_join(exposures(spark, sf_dir), conditions(spark, sf_dir)).groupBy("person", "drug").agg(
         F.countDistinct("s").alias("s_n"), F.count(F.lit(1)).alias("n")
     )
+
+
+@query()
+def bcpnn_ranked(spark, sf_dir):
+    """Scores of all pairs; one that never occurs gets -1 less a number in [0, 1) that its keys decide."""
+    score = F.when(F.col("w00") > 0, F.col("ic"))
+    return score_table(spark, sf_dir).select("drug", "cond", "w00", scores.ranked_where_unsupported(score, F.lit(0.0), F.col("drug"), F.col("cond")).alias("score"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 50 AS drug, o_orderpriority AS cond, o_orderkey,
+  CASE WHEN o_totalprice < 100000 THEN 1 WHEN o_totalprice < 200000 THEN 2 WHEN o_totalprice < 300000 THEN 3 END::INT AS level FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY drug, cond ORDER BY o_orderkey DESC) AS back FROM r) SELECT drug, cond, level FROM n WHERE back = 1""")
+def risk_levels(spark, sf_dir):
+    price = F.col("o_totalprice")
+    named = F.when(price < 100000, "Small risk").when(price < 200000, "Moderate risk").when(price < 300000, "Large risk").otherwise("Unknown")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("drug"), F.col("o_orderpriority").alias("cond"), "o_orderkey", scores.risk_level(named).alias("level"))
+    # The last row of a pair wins; a maximum by its place needs no sort.
+    return rows.groupBy("drug", "cond").agg(F.max_by("level", "o_orderkey").alias("level"))

@@ -209,3 +209,11 @@ def _triples(nations):
 def permutations(spark, sf_dir):
     a, b, c = (table(spark, sf_dir, "region").select(F.col("r_regionkey").alias(x)) for x in "abc")
     return a.join(b, F.col("a") != F.col("b")).join(c, (F.col("b") != F.col("c")) & (F.col("a") != F.col("c")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS place, o_orderkey FROM orders)
+SELECT file, place, o_orderkey FROM (SELECT c_custkey AS file, (c_custkey % 5 + 1)::INT AS place FROM customer) JOIN o USING (file, place)""")
+def position_join(spark, sf_dir):
+    catalogue = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), (F.col("c_custkey") % 5 + 1).cast("int").alias("place"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey")
+    return relational.join_by_place(catalogue, rows, "file", "place", [F.col("o_orderkey")])

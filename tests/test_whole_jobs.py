@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import registry
+from quern.functions import scores
 from quern.operators import graphs, models, ranking
 from quern.plans import storage
 from quern.registry import table
@@ -113,3 +114,20 @@ def test_whole_orders_take_no_single_task(spark):
     assert not _lone_windows(points) and not _lone_windows(found)
     empty = df.where("false")
     assert not ranking.precision_recall(empty, "score", "label", ["id"]).count() and not models.folds(empty, "id", 7).count()
+
+
+@pytest.mark.parametrize("name", ["position_join", "risk_levels"])
+def test_new_queries_against_sql(spark, sf, name):
+    assert_same(database(sf), registry.queries()[name](spark, sf), registry.oracle_sql()[name])
+
+
+def test_pairs_that_never_occur_rank_below_by_keys(spark, sf):
+    query = registry.queries()["bcpnn_ranked"]
+    got = {(r.drug, r.cond): (r.w00, r.score) for r in query(spark, sf).collect()}
+    supported = {(r.drug, r.cond): r.score for r in registry.queries()["bcpnn_supported"](spark, sf).collect()}
+    assert {k: round(s, 6) for k, (n, s) in got.items() if n > 0} == pytest.approx(supported)
+    pairs = spark.createDataFrame([(d, c) for d in range(20) for c in range(20)], "drug int, cond int")
+    low = pairs.select(scores.ranked_where_unsupported(F.lit(None).cast("double"), F.lit(0.0), F.col("drug"), F.col("cond")).alias("s"))
+    values = [r.s for r in low.collect()]
+    assert all(-2 < v <= -1 for v in values) and len(set(values)) > 390 and values == [r.s for r in low.collect()]
+    assert all(-2 < s <= -1 for n, s in got.values() if n == 0)
