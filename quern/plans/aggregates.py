@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from quern.functions import arrays
@@ -133,30 +131,21 @@ _ROW_MODES = {
     "pm1": ("(list_max(v) + list_min(v)) / 2", "(list_max(v) - list_min(v)) / 2"),
     "s1": ("0", "list_sum(v)"),
     "m0": ("list_avg(v)", "1"),
-    "v1": ("0", "sqrt((list_dot_product(v, v) - 8 * list_avg(v) * list_avg(v)) / 7)"),
+    "v1": ("0", "sqrt((list_dot_product(v, v) - 64 * list_avg(v) * list_avg(v)) / 63)"),
     "n1": ("0", "sqrt(list_dot_product(v, v))"),
-    "m0v1": ("list_avg(v)", "sqrt((list_dot_product(v, v) - 8 * list_avg(v) * list_avg(v)) / 7)"),
+    "m0v1": ("list_avg(v)", "sqrt((list_dot_product(v, v) - 64 * list_avg(v) * list_avg(v)) / 63)"),
 }
 for _mode, (_shift, _scale) in _ROW_MODES.items():
 
-    def _normalize_row(spark, sf_dir, mode=_mode, dims=8):
-        short = _vectors(spark, sf_dir).select("vec_id", F.transform(F.slice("v", 1, dims), lambda x: F.abs(x) + 0.01).alias("v"))
-        return short.select("vec_id", F.posexplode(arrays.normalized(F.col("v"), mode)).alias("i", "x")).select(
+    def _normalize_row(spark, sf_dir, mode=_mode):
+        positive = _vectors(spark, sf_dir).select("vec_id", F.transform("v", lambda x: F.abs(x) + 0.01).alias("v"))
+        return positive.select("vec_id", F.posexplode(arrays.normalized(F.col("v"), mode)).alias("i", "x")).select(
             "vec_id", "i", F.round("x", 5).alias("x")
         )
 
     register(
         f"normalize_{_mode}_row",
         _normalize_row,
-        f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:8]::DOUBLE[], lambda x: abs(x) + 0.01::DOUBLE) AS v FROM embeddings),
-k AS (SELECT vec_id, v, ({_shift})::DOUBLE AS sh, ({_scale})::DOUBLE AS sc FROM e), g AS (SELECT unnest(range(0, 8)) AS i)
-SELECT vec_id, i::INT AS i, round((v[i + 1] - sh) / sc, 5) AS x FROM k, g""",
-    )
-    # Over all 64 components.
-    _shift, _scale = (x.replace("- 8 *", "- 64 *").replace("/ 7", "/ 63") for x in (_shift, _scale))
-    register(
-        f"normalize_{_mode}_row_whole",
-        partial(_normalize_row, dims=64),
         f"""WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: abs(x) + 0.01::DOUBLE) AS v FROM embeddings),
 k AS (SELECT vec_id, v, ({_shift})::DOUBLE AS sh, ({_scale})::DOUBLE AS sc FROM e), g AS (SELECT unnest(range(0, 64)) AS i)
 SELECT vec_id, i::INT AS i, round((v[i + 1] - sh) / sc, 5) AS x FROM k, g""",

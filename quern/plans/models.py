@@ -2,75 +2,64 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from quern.operators import factors, mixtures, models, moments
-from quern.registry import query, sql_of, table
-
-#: Components of a vector, and of the prefix that the SQL of mean_cov, weighted_mean_cov, effective_rank and naive Bayes
-#: reads; each of those queries has a second one, ..._whole, over all components.
-WHOLE, DIMS = 64, 8
-
+from quern.registry import query, table
 
-def _vectors(spark, sf_dir, dims=WHOLE):
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, dims).alias("v"))
+#: Components of a vector.
+DIMS = 64
 
 
-def _whole(sql: str) -> str:
-    """The SQL of a query over a prefix, over all components."""
-    return re.sub(r"embedding\[1:\d\]", "embedding", sql).replace("- 4 * ln(2", f"- {WHOLE // 2} * ln(2")
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
-_X = "x AS (SELECT vec_id, label, generate_subscripts(embedding[1:8], 1) - 1 AS i, unnest(embedding[1:8]::DOUBLE[]) AS y FROM embeddings)"
+_X = "x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding::DOUBLE[]) AS y FROM embeddings)"
 
 
 @query(f"WITH {_X} SELECT a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.y, b.y), 7) AS cov FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2")
 def mean_cov(spark, sf_dir):
-    return moments.covariance_long(_vectors(spark, sf_dir, DIMS), "v", DIMS).select("i", "j", F.round("cov", 7).alias("cov"))
+    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", DIMS)
+    return _cells(spark, cov)
 
 
 @query(f"""WITH {_X}, w AS (SELECT a.i, b.i AS j, a.y AS p, b.y AS q, (a.label + 1)::DOUBLE AS w FROM x a JOIN x b USING (vec_id))
 SELECT i::INT AS i, j::INT AS j, round(sum(w * p * q) / sum(w) - sum(w * p) * sum(w * q) / (sum(w) * sum(w)) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 7)::DOUBLE AS cov FROM w GROUP BY i, j""")
 def weighted_mean_cov(spark, sf_dir):
-    cov = moments.covariance_long(_vectors(spark, sf_dir, DIMS), "v", DIMS, weight=(F.col("label") + 1).cast("double"), ridge=0.001)
-    return cov.select("i", "j", F.round("cov", 7).alias("cov"))
+    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", DIMS, weight=(F.col("label") + 1).cast("double"))
+    return _cells(spark, cov + 0.001 * np.eye(DIMS))
 
 
-@query(f"""WITH {_X}, v AS (SELECT i, var_pop(y) AS e FROM x GROUP BY i), c AS (SELECT e, sum(e) OVER (ORDER BY e DESC, i ROWS UNBOUNDED PRECEDING) / sum(e) OVER () AS share FROM v)
-SELECT least(count(*) FILTER (WHERE share <= 0.9) + 1, count(*))::BIGINT AS eff_rank FROM c""")
-def effective_rank(spark, sf_dir):
-    from pyspark.sql import Window
+def _cells(spark, cov):
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 7)) for i in range(DIMS) for j in range(DIMS)], "i int, j int, cov double")
 
-    energies = moments.covariance_long(_vectors(spark, sf_dir, DIMS), "v", DIMS).where("i = j")
-    share = F.sum("cov").over(Window.orderBy(F.desc("cov"), "i").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("cov").over(Window.partitionBy())
-    kept = F.sum(F.when(F.col("share") <= 0.9, 1).otherwise(0)) + 1
-    return energies.select(share.alias("share")).agg(F.least(kept, F.count(F.lit(1))).cast("long").alias("eff_rank"))
+
+@query()
+def effective_rank(spark, sf_dir):
+    """How many principal components hold nine tenths of the variance."""
+    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", DIMS)
+    return spark.createDataFrame([(moments.effective_rank(np.linalg.eigvalsh(cov), 0.9),)], "eff_rank long")
 
 
 @query(f"""WITH {_X}, p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS prior FROM embeddings GROUP BY label)
 SELECT label, i::INT AS i, round(avg(y), 6) AS mu, round(stddev_samp(y), 6) AS sd, round(prior, 6)::DOUBLE AS prior FROM x JOIN p USING (label) GROUP BY label, i, prior""")
 def nbayes_fit(spark, sf_dir):
-    return _fitted(spark, sf_dir, DIMS)
-
-
-def _fitted(spark, sf_dir, dims):
-    fitted = models.fit_naive_bayes(_vectors(spark, sf_dir, dims), "label", "v", dims)
+    fitted = models.fit_naive_bayes(_vectors(spark, sf_dir), "label", "v", DIMS)
     cells = fitted.select("label", "prior", F.posexplode(F.arrays_zip("mu", "sd")).alias("i", "c"))
     return cells.select("label", "i", F.round("c.mu", 6).alias("mu"), F.round("c.sd", 6).alias("sd"), F.round("prior", 6).alias("prior"))
 
 
 _NB = f"""{_X}, m AS (SELECT label, i, avg(y) AS mu, stddev_samp(y) AS sd FROM x GROUP BY 1, 2), pr AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS prior FROM embeddings GROUP BY label),
-l AS (SELECT x.vec_id, x.label AS truth, m.label AS pred, ln(prior) + sum(-ln(sd) - pow((y - mu) / sd, 2) / 2) - 4 * ln(2 * pi()) AS ll FROM x JOIN m USING (i) JOIN pr ON pr.label = m.label GROUP BY x.vec_id, x.label, m.label, prior),
+l AS (SELECT x.vec_id, x.label AS truth, m.label AS pred, ln(prior) + sum(-ln(sd) - pow((y - mu) / sd, 2) / 2) - {DIMS // 2} * ln(2 * pi()) AS ll FROM x JOIN m USING (i) JOIN pr ON pr.label = m.label GROUP BY x.vec_id, x.label, m.label, prior),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, pred) AS r FROM l), nb AS (SELECT vec_id, truth, pred, ll FROM b WHERE r = 1)"""
 
 
-def _predicted(spark, sf_dir, dims=DIMS):
-    v = _vectors(spark, sf_dir, dims)
-    model = models.fit_naive_bayes(v, "label", "v", dims)
-    return models.predict_naive_bayes(v, "vec_id", "v", model, "label", dims).join(v.select("vec_id", F.col("label").alias("truth")), "vec_id")
+def _predicted(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    model = models.fit_naive_bayes(v, "label", "v", DIMS)
+    return models.predict_naive_bayes(v, "vec_id", "v", model, "label", DIMS).join(v.select("vec_id", F.col("label").alias("truth")), "vec_id")
 
 
 @query(f"WITH {_NB} SELECT vec_id, pred, round(ll, 5) AS ll FROM nb")
@@ -83,53 +72,6 @@ def confusion_matrix(spark, sf_dir):
     return models.confusion(_predicted(spark, sf_dir), "truth", "pred")
 
 
-_FIT_SQL, _NB_SQL, _CONFUSION_SQL = (sql_of(n) for n in ("nbayes_fit", "nbayes_predict", "confusion_matrix"))
-
-
-@query()
-def mean_cov_whole(spark, sf_dir):
-    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", WHOLE)
-    return _cells(spark, cov)
-
-
-@query()
-def weighted_mean_cov_whole(spark, sf_dir):
-    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", WHOLE, weight=(F.col("label") + 1).cast("double"))
-    return _cells(spark, cov + 0.001 * np.eye(WHOLE))
-
-
-def _cells(spark, cov):
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 7)) for i in range(WHOLE) for j in range(WHOLE)], "i int, j int, cov double")
-
-
-@query()
-def effective_rank_whole(spark, sf_dir):
-    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", WHOLE)
-    return spark.createDataFrame([(moments.effective_rank(np.diag(cov), 0.9),)], "eff_rank long")
-
-
-@query()
-def effective_rank_eigen(spark, sf_dir):
-    """How many principal components hold nine tenths of the variance."""
-    _, _, cov = moments.moments(_vectors(spark, sf_dir), "v", WHOLE)
-    return spark.createDataFrame([(moments.effective_rank(np.linalg.eigvalsh(cov), 0.9),)], "eff_rank long")
-
-
-@query(_whole(_FIT_SQL))
-def nbayes_fit_whole(spark, sf_dir):
-    return _fitted(spark, sf_dir, WHOLE)
-
-
-@query(_whole(_NB_SQL))
-def nbayes_predict_whole(spark, sf_dir):
-    return _predicted(spark, sf_dir, WHOLE).select("vec_id", "pred", F.round("ll", 5).alias("ll"))
-
-
-@query(_whole(_CONFUSION_SQL))
-def confusion_matrix_whole(spark, sf_dir):
-    return models.confusion(_predicted(spark, sf_dir, WHOLE), "truth", "pred")
-
-
 _QT = "q AS (SELECT doc_id, quality, CASE WHEN length(text) % 3 > 0 THEN 0.8 ELSE 0.2 END AS score FROM documents JOIN labels USING (doc_id))"
 
 
@@ -204,23 +146,13 @@ def kmeans(spark, sf_dir):
     return KMeans(k=5, seed=1).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@query("""WITH c AS (SELECT label AS code, [avg(embedding[1]), avg(embedding[2]), avg(embedding[3]), avg(embedding[4])] AS mu FROM embeddings GROUP BY label),
-d AS (SELECT vec_id, code, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding[1:4]::DOUBLE[], mu::DOUBLE[]), 9), code) AS r FROM embeddings, c) SELECT vec_id, code FROM d WHERE r = 1""")
-def quantize(spark, sf_dir):
-    return _quantized(spark, sf_dir, 4)
-
-
-@query(f"""WITH c AS (SELECT label AS code, [{", ".join(f"avg(embedding[{i + 1}])" for i in range(WHOLE))}] AS mu FROM embeddings GROUP BY label),
+@query(f"""WITH c AS (SELECT label AS code, [{", ".join(f"avg(embedding[{i + 1}])" for i in range(DIMS))}] AS mu FROM embeddings GROUP BY label),
 d AS (SELECT vec_id, code, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], mu::DOUBLE[]), 9), code) AS r FROM embeddings, c) SELECT vec_id, code FROM d WHERE r = 1""")
-def quantize_whole(spark, sf_dir):
-    return _quantized(spark, sf_dir, WHOLE)
-
-
-def _quantized(spark, sf_dir, dims):
+def quantize(spark, sf_dir):
     from quern.functions.arrays import distance
 
-    rows = _vectors(spark, sf_dir, dims)
-    book = rows.groupBy(F.col("label").alias("code")).agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dims))).alias("mu"))
+    rows = _vectors(spark, sf_dir)
+    book = rows.groupBy(F.col("label").alias("code")).agg(F.array(*(F.avg(F.col("v")[i]) for i in range(DIMS))).alias("mu"))
     far = F.round(distance(F.col("v"), F.col("mu")), 9)
     return rows.crossJoin(F.broadcast(book)).groupBy("vec_id").agg(F.min_by("code", F.struct(far, F.col("code"))).alias("code"))
 
@@ -279,8 +211,8 @@ def drmf(spark, sf_dir):
 @query()
 def grouped_mixture(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    model = mixtures.fit_group_mixture(rows, "label", "v", WHOLE, 2, 3, steps=5)
-    return mixtures.score_groups(rows, "label", "v", WHOLE, model)
+    model = mixtures.fit_group_mixture(rows, "label", "v", DIMS, 2, 3, steps=5)
+    return mixtures.score_groups(rows, "label", "v", DIMS, model)
 
 
 @query("SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM embeddings) WHERE r <= 20")
@@ -295,7 +227,7 @@ def multinomial_draws(spark, sf_dir):
 
 @query()
 def gmm_select(spark, sf_dir):
-    _, scores = mixtures.select_mixture(_features(spark, sf_dir).cache(), "features", WHOLE, [2, 3])
+    _, scores = mixtures.select_mixture(_features(spark, sf_dir).cache(), "features", DIMS, [2, 3])
     return spark.createDataFrame([(k, float(v)) for k, v in sorted(scores.items())], "k int, criterion double")
 
 

@@ -175,33 +175,15 @@ def edges_dedup(spark, sf_dir):
     return graphs.undirected(edges, "src", "dst", "pos")
 
 
-@query("SELECT user_id, unnest(flatten(list_value(list_value(event_id, event_id + 1), list_value(event_id + 2)))) AS x FROM events WHERE event_id < 200")
-def flatten_once(spark, sf_dir):
-    return _flattened(table(spark, sf_dir, "events").where("event_id < 200"))
-
-
 @query("SELECT user_id, unnest(flatten(list_value(list_value(event_id, event_id + 1), list_value(event_id + 2)))) AS x FROM events")
-def flatten_once_whole(spark, sf_dir):
-    return _flattened(table(spark, sf_dir, "events"))
-
-
-def _flattened(events):
+def flatten_once(spark, sf_dir):
     nested = F.array(F.array("event_id", F.col("event_id") + 1), F.array(F.col("event_id") + 2))
-    return events.select("user_id", F.explode(F.flatten(nested)).alias("x"))
-
-
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey AND c.n_nationkey < 8")
-def combinations(spark, sf_dir):
-    return _triples(table(spark, sf_dir, "nation").where("n_nationkey < 8"))
+    return table(spark, sf_dir, "events").select("user_id", F.explode(F.flatten(nested)).alias("x"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, c.n_nationkey AS c FROM nation a, nation b, nation c WHERE a.n_nationkey < b.n_nationkey AND b.n_nationkey < c.n_nationkey")
-def combinations_whole(spark, sf_dir):
-    return _triples(table(spark, sf_dir, "nation"))
-
-
-def _triples(nations):
-    a, b, c = (nations.select(F.col("n_nationkey").alias(x)) for x in "abc")
+def combinations(spark, sf_dir):
+    a, b, c = (table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(x)) for x in "abc")
     return a.join(b, F.col("a") < F.col("b")).join(c, F.col("b") < F.col("c"))
 
 

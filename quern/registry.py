@@ -33,11 +33,6 @@ def register(name: str, function: Query, sql: str | None = None) -> None:
     query(sql, name)(function)
 
 
-def sql_of(name: str) -> str:
-    """The SQL of a query that is registered already."""
-    return _SQL[name]
-
-
 def _load() -> None:
     for module in PLANS:
         importlib.import_module(f"quern.plans.{module}")

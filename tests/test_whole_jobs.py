@@ -20,8 +20,8 @@ def test_file_key_comes_from_the_files(spark, sf, monkeypatch):
     assert {r.file_key for r in query(spark, sf).collect()} == {"orders"}
 
 
-WHOLE = """nbayes_fit_whole nbayes_predict_whole confusion_matrix_whole quantize_whole normalize_01_row_whole normalize_pm1_row_whole
-normalize_s1_row_whole normalize_m0_row_whole normalize_v1_row_whole normalize_n1_row_whole normalize_m0v1_row_whole""".split()
+WHOLE = """weighted_mean_cov nbayes_fit normalize_01_row normalize_pm1_row normalize_s1_row normalize_m0_row normalize_v1_row
+normalize_n1_row""".split()
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -41,12 +41,10 @@ def test_whole_vectors_against_numpy(spark, sf):
     run = lambda name: registry.queries()[name](spark, sf).collect()
     square = lambda name: np.array([r["cov"] for r in sorted(run(name))]).reshape(64, 64)
     cov = np.cov(x.T, bias=True)
-    assert np.allclose(square("mean_cov_whole"), cov, atol=2e-7)
-    assert np.allclose(square("weighted_mean_cov_whole"), np.cov(x.T, bias=True, aweights=label + 1) + 0.001 * np.eye(64), atol=2e-7)
-    energy = np.sort(np.diag(cov))[::-1]
-    assert run("effective_rank_whole")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
+    assert np.allclose(square("mean_cov"), cov, atol=2e-7)
+    assert np.allclose(square("weighted_mean_cov"), np.cov(x.T, bias=True, aweights=label + 1) + 0.001 * np.eye(64), atol=2e-7)
     energy = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
-    assert run("effective_rank_eigen")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
+    assert run("effective_rank")[0][0] == (np.cumsum(energy) / energy.sum() <= 0.9).sum() + 1
     got = {r.label: r for r in run("factor_models")}
     for k in np.unique(label):
         left = np.linalg.svd(np.abs(x[label == k]), compute_uv=False)[2:]
@@ -65,7 +63,7 @@ def test_last_components_count(spark, sf, tmp_path, name):
     assert len(got) == len(other) and got != other
 
 
-@pytest.mark.parametrize("name, n", [("flatten_once_whole", None), ("combinations_whole", 25 * 24 * 23 // 6)])
+@pytest.mark.parametrize("name, n", [("flatten_once", None), ("combinations", 25 * 24 * 23 // 6)])
 def test_no_subset(spark, sf, name, n):
     df = registry.queries()[name](spark, sf)
     assert df.count() == (n or 3 * table(spark, sf, "events").count())
