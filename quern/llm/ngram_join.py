@@ -49,6 +49,10 @@ MAX_MATRIX = 1 << 31
 MAX_BROADCAST = 500_000
 #: Sets of a part of a wide shingle or large block, and shingles of its sets, about.
 PART_SETS, PART_SHINGLES = 1024, 1 << 22
+#: Share of the rows in which wide shingles are looked for.
+WIDE_SHARE = 1 / 16
+#: Lists of each set in which its smaller lists are looked for.
+HOMES = 4
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -484,20 +488,37 @@ def _dealt(salt: int, *keys) -> F.Column:
 def _wide(sets: DataFrame) -> DataFrame:
     """(key, many) of the keys that more than PART_SETS rows of ``sets`` have.
 
-    Keys are counted by their lowest bits first, about two values for each row,
-    so that less is moved; then the keys of the values that are frequent enough.
+    Only keys that are frequent in a share of the rows are counted, in all rows
+    then: a key of PART_SETS rows is among them but for a chance of 1e-11, and
+    one that isn't stays in a list of its own, at no loss of links.
     """
-    keys = sets.select(F.explode("keys").alias("key"))
-    mask = (1 << max(10, (2 * max(1, sets.count()) - 1).bit_length())) - 1
-    low = F.col("key").bitwiseAND(F.lit(mask).cast("long"))
-    frequent = keys.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
-    frequent = stored(frequent.select("low"), "low")
-    n = frequent.count()
-    some = keys.withColumn("low", low).join(F.broadcast(frequent) if n <= MAX_BROADCAST else frequent, "low", "left_semi")
-    counted = some.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
+    keys = lambda df: df.select(F.explode("keys").alias("key"))
+    some = keys(sets.sample(WIDE_SHARE, seed=5)).groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+    some = stored(some.where(F.col("many") >= PART_SETS * WIDE_SHARE / 4).select("key"), "frequent")
+    n = some.count()
+    counted = keys(sets).join(F.broadcast(some) if n <= MAX_BROADCAST else some, "key", "left_semi")
+    counted = counted.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
     return stored(counted if n else counted.where("false"), "wide")
 
 
+def _outermost(lists: DataFrame) -> DataFrame:
+    """(list, x) of the lists of ``lists`` (list, members) but for those all of whose members are in a larger list too.
+
+    A larger list is looked for among the HOMES largest ones of each member; one
+    that isn't found there costs work, not links.
+    """
+    members = lists.select("list", F.size("members").alias("n"), F.explode("members").alias("x"))
+    # As many lists as a set has shingles, at most.
+    of = members.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("n", "list")), asc=False).alias("of"))
+    of = of.select(F.explode("of").alias("own"), F.slice("of", 1, HOMES).alias("homes"))
+    pairs = of.select("own", F.explode(F.filter("homes", lambda h: h > F.col("own"))).alias("home"))
+    inside = pairs.groupBy("own", "home").agg(F.count(F.lit(1)).alias("many")).where("many = own.n")
+    inside = stored(inside.select("own.list").distinct(), "inside-lists")
+    if inside.count() <= MAX_BROADCAST:
+        inside = F.broadcast(inside)
+    return lists.join(inside, "list", "left_anti").select("list", F.explode("members").alias("x"))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -592,10 +613,11 @@ def components_of_rows(docs: DataFrame, doc_id: str, text: str, mark: F.Column)
     narrow = postings.join(named, "key", "left_anti") if n_wide else postings
     lists = stored(
         narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "members array<long>")
-        .select("members", F.xxhash64("members").alias("list"), F.hash("members").alias("other")).dropDuplicates(["list", "other"]),
+        .withColumns({"one": F.xxhash64("members"), "other": F.hash("members")}).dropDuplicates(["one", "other"])
+        .select("members", F.monotonically_increasing_id().alias("list")),
         "lists",
     )
-    members = lists.select("list", F.explode("members").alias("x")).distinct()
+    members = _outermost(lists)
     spread = None
     if n_wide:
         # A set is compared within one of its wide shingles, the one of most sets, part by part.
