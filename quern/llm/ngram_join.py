@@ -23,6 +23,7 @@ the group, in cells of two parts each: by bitmaps first, exactly then.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,18 +55,32 @@ WIDE_SHARE = 1 / 16
 #: Lists of each set in which its smaller lists are looked for.
 HOMES = 4
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
+_BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose words are held at once, about.
+PIECE = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words in their order. The words of a long text exist as objects piece by piece only; pieces end at blanks."""
+    out, start = [np.zeros(0, np.uint64)], 0
+    while start < len(text):
+        blank = _BLANK.search(text, start + PIECE)
+        end = blank.start() if blank else len(text)
+        found = text[start:end].split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+        start = end
+    return np.concatenate(out)
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of a shorter text, of the whole sequence; of none, nothing.
 
     A-Z count as a-z; words are parted by blanks and \\t to \\r.
     """
-    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    h = _word_hashes(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if text else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     width = min(words, len(h))
     mixed = h[: len(h) - width + 1] + np.uint64(width)
     for k in range(1, width):
@@ -285,7 +300,7 @@ def hot_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.unique(shingles(t)).view(np.int64) for t in batch.column(0).to_pylist()]
+            got = [shingles(t.as_py()).view(np.int64) for t in batch.column(0)]
             flat = np.concatenate(got) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat)], ["shingle"])
 
@@ -301,8 +316,8 @@ def shingle_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, maps, keys, small = [], [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t)
+            for t in batch.column(1):
+                s = shingles(t.as_py())
                 first, count = prefix(s, hot)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -455,8 +470,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             out = {}
-            for t in batch.column(1).to_pylist():
-                some = shingles(t).tobytes()
+            for t in batch.column(1):
+                some = shingles(t.as_py()).tobytes()
                 digest = xxhash.xxh3_128_digest(some)
                 if digest not in seen:
                     seen.add(digest)
