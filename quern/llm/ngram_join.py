@@ -40,7 +40,9 @@ WORDS = 5
 LIKE = (3, 4)
 #: Documents in which frequent shingles are looked for, at most; shingles in a share of at least HOT_SHARE of them, and in
 #: at least HOT_LEAST, come last in the order, at most MAX_HOT of them. Any choice gives the same links.
-HOT_DOCS, HOT_SHARE, HOT_LEAST, MAX_HOT = 4_000, 0.002, 8, 50_000
+HOT_DOCS, HOT_SHARE, HOT_LEAST, MAX_HOT = 4_000, 0.002, 8, 200_000
+#: Documents in whose prefixes frequent shingles are looked for, at most, and in how many of them a shingle is frequent.
+QUOTED_DOCS, QUOTED_LEAST = 65_536, 4
 #: Bits of a bitmap for each shingle, about.
 BITS = 4
 LEAF, FAN = 64, 8
@@ -294,20 +296,30 @@ def exact_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def hot_shingles(docs: DataFrame, text: str) -> np.ndarray:
-    """Shingles that are frequent in a bounded sample of documents, sorted. They only order the shingles."""
-    # The texts of the sample stay where they are; only counts of shingles move.
-    sample = docs.select(text).sample(min(1.0, HOT_DOCS / max(1, docs.count())), seed=3)
+    """Shingles that are frequent in bounded samples of documents, sorted. They only order the shingles.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First those frequent in a few documents; then, among the prefixes that this
+    order gives in more documents, those of passages that are rarer, but would
+    bring every document that quotes them into a list for each.
+    """
+    rows = max(1, docs.count())
+    # The texts of a sample stay where they are; only counts of shingles move.
+    first = _frequent(docs.select(text).sample(min(1.0, HOT_DOCS / rows), seed=3), None, max(HOT_LEAST, int(HOT_DOCS * HOT_SHARE)))
+    return np.union1d(first, _frequent(docs.select(text).sample(min(1.0, QUOTED_DOCS / rows), seed=4), first, QUOTED_LEAST))
+
+
+def _frequent(sample: DataFrame, hot: np.ndarray | None, least: int) -> np.ndarray:
+    """Shingles of at least ``least`` texts, the most frequent ones; with ``hot``, those of the prefixes only."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingles(t.as_py()).view(np.int64) for t in batch.column(0)]
-            flat = np.concatenate(got) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat)], ["shingle"])
+            got = [shingles(t.as_py()) for t in batch.column(0)]
+            got = [(s if hot is None else prefix(s, hot)[0]).view(np.int64) for s in got if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], ["shingle"])
 
-    least = max(HOT_LEAST, int(HOT_DOCS * HOT_SHARE))
-    counted = sample.mapInArrow(sets, "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
-    rows = counted.orderBy(F.desc("count"), "shingle").limit(MAX_HOT).select("shingle").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    counted = sample.mapInArrow(keys, "shingle long").groupBy("shingle").count().where(F.col("count") >= least)
+    rows = counted.orderBy(F.desc("count"), "shingle").limit(MAX_HOT).select("shingle").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def shingle_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -507,15 +519,29 @@ def _wide(sets: DataFrame) -> DataFrame:
     then: a key of PART_SETS rows is among them but for a chance of 1e-11, and
     one that isn't stays in a list of its own, at no loss of links.
     """
-    keys = lambda df: df.select(F.explode("keys").alias("key"))
-    some = keys(sets.sample(WIDE_SHARE, seed=5)).groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+    some = sets.sample(WIDE_SHARE, seed=5).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("many"))
     some = stored(some.where(F.col("many") >= PART_SETS * WIDE_SHARE / 4).select("key"), "frequent")
     n = some.count()
-    counted = keys(sets).join(F.broadcast(some) if n <= MAX_BROADCAST else some, "key", "left_semi")
+    if n <= MAX_BROADCAST:
+        counted = _keys_among(sets, np.sort(some.toArrow().column(0).to_numpy().astype(np.int64)))
+    else:
+        counted = sets.select(F.explode("keys").alias("key")).join(some, "key", "left_semi")
     counted = counted.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > PART_SETS)
     return stored(counted if n else counted.where("false"), "wide")
 
 
+def _keys_among(sets: DataFrame, named: np.ndarray) -> DataFrame:
+    """(key) of every row of ``sets`` and each of its keys that is among ``named``, which is sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column(0).flatten(), np.int64)
+            at = np.searchsorted(named, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[named[np.minimum(at, len(named) - 1)] == flat] if len(named) else flat[:0])], ["key"])
+
+    return sets.select("keys").mapInArrow(run, "key long")
+
+
 def _outermost(lists: DataFrame) -> DataFrame:
     """(list, x) of the lists of ``lists`` (list, members) but for those all of whose members are in a larger list too.
 

@@ -243,3 +243,24 @@ def test_equal_steps_of_position_hold_equal_words(spark):
     at = np.array([r.position for r in mixed.collect()])
     assert mixed.columns == ["doc_id", "source", "size", "position"]
     assert abs(np.histogram(at, 10, (0, 1))[0] / len(at) - 0.1).max() < 0.005
+
+
+def test_quoted_passages_come_last(spark):
+    """Shingles of a passage of a few texts leave their prefixes, so that they make no lists of them."""
+    own = lambda k: [f"w{k}x{i}" for i in range(60)]
+    passage = [f"q{i}" for i in range(14)]
+    texts = [" ".join(own(k) + (passage if k % 30 == 0 else [])) for k in range(200)]
+    hot = ngram_join.hot_shingles(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    quoted = set(ngram_join.shingles(" ".join(passage)).tolist())
+    shared = lambda hot: sum(len(set(ngram_join.prefix(ngram_join.shingles(t), hot)[0].tolist()) & quoted) for t in texts)
+    assert shared(hot) * 2 < shared(hot[:0])
+
+
+def test_frequent_keys_are_counted_without_the_others(spark):
+    """Rows beside the frequent keys aren't expanded, and their counts are whole."""
+    keys = [[k * 10 + i for i in range(5)] + [-7] * (k % 2) for k in range(4000)]
+    sets = spark.createDataFrame([(k,) for k in keys], "keys array<long>").cache()
+    assert [tuple(r) for r in ngram_join._wide(sets).collect()] == [(-7, 2000)]
+    among = ngram_join._keys_among(sets, np.array([-7, 10, 39_994]))
+    assert sorted(r.key for r in among.collect()) == [-7] * 2000 + [10, 39_994]
+    assert not ngram_join._keys_among(sets, np.zeros(0, np.int64)).take(1)
