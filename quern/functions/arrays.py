@@ -5,6 +5,8 @@ These suit short vectors. For long ones, use the numpy batches of ``quern.operat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return F.try_divide(total(a), F.size(a))
 
 
 def sum_squares(a: Column) -> Column:
@@ -33,10 +35,15 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once: within the lambda of another function it would be for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spread(a: Column) -> Column:
-    """Sample standard deviation."""
-    m = mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(a) - 1))
+    """Sample standard deviation; null for fewer than two numbers."""
+    squares = once(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    return F.sqrt(F.try_divide(squares, F.size(a) - 1))
 
 
 def kth_smallest(a: Column, k: int) -> Column:
@@ -65,7 +72,7 @@ def nearly_equal(a: Column, b: Column, tolerance: float = 1e-7) -> Column:
 
 def _scaled(a: Column, shift: Column, scale: Column) -> Column:
     factor = F.when(scale.isNull() | (scale == 0), F.lit(1.0)).otherwise(scale)
-    return F.transform(a, lambda x: (x - shift) / factor)
+    return once(F.struct(shift.alias("shift"), factor.alias("factor")), lambda by: F.transform(a, lambda x: (x - by["shift"]) / by["factor"]))
 
 
 #: Shift and scale of each mode, of a row's vector.

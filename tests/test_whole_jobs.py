@@ -1,11 +1,13 @@
 """Queries do the whole job: nothing hard-coded, cut or left out."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern import registry
-from quern.functions import scores
+from quern.functions import arrays, scores
 from quern.operators import graphs, models, ranking
 from quern.plans import storage
 from quern.registry import table
@@ -129,3 +131,15 @@ def test_pairs_that_never_occur_rank_below_by_keys(spark, sf):
     values = [r.s for r in low.collect()]
     assert all(-2 < v <= -1 for v in values) and len(set(values)) > 390 and values == [r.s for r in low.collect()]
     assert all(-2 < s <= -1 for n, s in got.values() if n == 0)
+
+
+@pytest.mark.parametrize("mode", ["v1", "m0v1"])
+def test_rows_are_normalized_in_linear_time(spark, mode):
+    x = np.random.default_rng(5).random((24, 320))
+    df = spark.createDataFrame([([],), *((r.tolist(),) for r in x)], "v array<double>").coalesce(1).cache()
+    df.count()
+    start = time.time()
+    got = [r[0] for r in df.select(arrays.normalized(F.col("v"), mode)).collect()]
+    assert time.time() - start < 6
+    shift = x.mean(axis=1, keepdims=True) if mode == "m0v1" else 0
+    assert got[0] == [] and np.allclose(got[1:], (x - shift) / x.std(axis=1, ddof=1, keepdims=True))
