@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.graphs import component_roots
+from quern.shared import stored
+
 #: Rows of a block of the pool, and of the queries that meet it.
 BLOCK_ROWS = 8_192
 
@@ -95,16 +99,102 @@ def neighbour_scores(edges: DataFrame, k: int, src: str = "src", dist: str = "di
     return edges.groupBy(src).agg((F.sum(dist) / k).alias("mean_dist"), F.max(dist).alias("max_dist"))
 
 
+def _square(a, b, columns: list[str]):
+    return sum(((a[c] - b[c]) * (a[c] - b[c]) for c in columns), F.lit(0.0))
+
+
+def near_components(df: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:
+    """``key`` and ``component``, the least key that steps between rows within the radius lead to, of all rows.
+
+    The same as the connected components of ``radius_join``, without its pairs:
+    all rows of a grid cell whose diagonal is below the radius hang together, so
+    that cells are joined, not rows. Two cells are linked at once if extreme
+    rows of theirs are within the radius. Only cells that then don't hang
+    together and have more rows are compared row by row, those rows that are
+    within the radius of the other cell's bounds. Keys are numbers; rows with a
+    missing or infinite coordinate are alone. Coordinates may reach 1e9 radii.
+    """
+    side = radius / math.sqrt(len(columns)) * (1 - 1e-6)
+    most = radius * radius
+    grid = [f"g{i}" for i in range(len(columns))]
+    finite = F.lit(True)
+    for c in columns:
+        finite = finite & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    rows = df.select(F.col(key).alias("id"), *(F.when(finite, F.col(c).cast("double")).alias(c) for c in columns))
+    rows = rows.select("*", *(x.alias(g) for x, g in zip(_cells(dict.fromkeys(columns, side)), grid, strict=True)))
+    whole = rows.where(F.col(grid[0]).isNotNull())
+    at = F.struct(*columns)
+    found = whole.groupBy(*grid).agg(
+        F.min("id").alias("cell"), F.count(F.lit(1)).alias("n"),
+        F.array_distinct(F.array(*(f(at, F.col(c)) for c in columns for f in (F.min_by, F.max_by)))).alias("ends"),
+        F.struct(*(F.min(c).alias(c) for c in columns)).alias("low"), F.struct(*(F.max(c).alias(c) for c in columns)).alias("high"),
+    )
+    cells = stored(found, "cells")
+    reach = math.ceil(math.sqrt(len(columns)) * (1 + 1e-5))
+    steps = [s for s in itertools.product(range(-reach, reach + 1), repeat=len(columns)) if s > (0,) * len(columns)]
+    step = F.explode(F.array(*(F.struct(*(F.lit(x).cast("long").alias(g) for g, x in zip(grid, s, strict=True))) for s in steps)))
+    left = cells.select(*grid, F.struct("cell", "n", "ends", "low", "high").alias("a"))
+    right = cells.select("*", step.alias("step")).select(*((F.col(g) + F.col(f"step.{g}")).alias(g) for g in grid), F.struct("cell", "n", "ends", "low", "high").alias("b"))
+    pairs = left.join(right, grid).select("a", "b")
+    apart = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a.low.{c}") - F.col(f"b.high.{c}"), F.col(f"b.low.{c}") - F.col(f"a.high.{c}")), 2) for c in columns), F.lit(0.0))
+    near = F.exists("a.ends", lambda p: F.exists("b.ends", lambda q: _square(p, q, columns) <= most))
+    more = (F.col("a.n") > F.size("a.ends")) | (F.col("b.n") > F.size("b.ends"))
+    # A hair wider, for the rounding of powers.
+    pairs = pairs.where(apart <= most * (1 + 1e-9)).select("a", "b", near.alias("near")).where(F.col("near") | more)
+    pairs = stored(pairs, "cell-pairs")
+    edges = pairs.where("near").select(F.col("a.cell").alias("src"), F.col("b.cell").alias("dst"))
+    placed = whole.join(cells.select(*grid, "cell"), grid)
+    # Rows that share a key hang together wherever they are.
+    again = placed.groupBy("id").agg(F.min("cell").alias("dst"), F.max("cell").alias("last")).where("dst <> last").select("id", "dst")
+    edges = stored(edges.unionByName(placed.join(again, "id").select(F.col("cell").alias("src"), "dst")), "cell-links")
+    roots = component_roots(edges)
+    root = lambda x: roots.select(F.col("id").alias(f"{x}_id"), F.col("root").alias(f"{x}_root"))
+    open_pairs = pairs.where("not near").join(root("a"), F.col("a.cell") == F.col("a_id"), "left").join(root("b"), F.col("b.cell") == F.col("b_id"), "left")
+    open_pairs = open_pairs.where(F.coalesce("a_root", "a.cell") != F.coalesce("b_root", "b.cell"))
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"{x}.cell").alias("cell"), F.col(f"{y}.low"), F.col(f"{y}.high")) for k, (x, y) in enumerate(("ab", "ba")))))
+    meet = stored(open_pairs.select(F.col("a.cell").alias("src"), F.col("b.cell").alias("dst"), sides.alias("of")).select("src", "dst", "of.*"), "open-cells")
+    if meet.take(1):
+        off = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"low.{c}") - F.col(c), F.col(c) - F.col(f"high.{c}")), 2) for c in columns), F.lit(0.0))
+        met = placed.join(meet, "cell").where(off <= most * (1 + 1e-9)).select("src", "dst", "side", *columns).distinct()
+
+        def linked(table: pa.Table) -> pa.Table:
+            some = np.asarray(table["side"])
+            x = np.column_stack([np.asarray(table[c]) for c in columns])
+            a, b = x[some == 0], x[some == 1]
+            a, b = a[np.argsort(a[:, 0])], b[np.argsort(b[:, 0])]
+            return table.select(["src", "dst"]).slice(0, int(len(a) > 0 and len(b) > 0 and _any_within(a, b, radius)))
+
+        kind = df.schema[key].dataType.simpleString()
+        edges = edges.unionByName(met.groupBy("src", "dst").applyInArrow(linked, f"src {kind}, dst {kind}"))
+        roots = component_roots(edges)
+    of_cell = cells.join(roots, F.col("cell") == F.col("id"), "left").select(*grid, F.coalesce("root", "cell").alias("component"))
+    return rows.join(of_cell, grid, "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("component"))
+
+
+def _any_within(a: np.ndarray, b: np.ndarray, radius: float, block: int = 256) -> bool:
+    """Whether a row of ``a`` is within the radius of one of ``b``, both sorted by their first column."""
+    for i in range(0, len(a), block):
+        some = a[i : i + block]
+        low, high = some[0, 0] - 2 * radius, some[-1, 0] + 2 * radius
+        first, last = np.searchsorted(b[:, 0], low), np.searchsorted(b[:, 0], high, side="right")
+        for j in range(first, last, block):
+            other = b[j : min(j + block, last)]
+            square = 0.0
+            for k in range(a.shape[1]):
+                d = some[:, k, None] - other[None, :, k]
+                square = square + d * d
+            if (square <= radius * radius).any():
+                return True
+    return False
+
+
 def greedy_thin(df: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:
     """Rows but those that have an earlier one in their group of rows within the radius: one of each, the least key.
 
     Groups are connected components, so what stays doesn't depend on the order
     in which rows are looked at.
     """
-    from quern.operators.graphs import connected_components
-
-    edges = radius_join(df, key, columns, radius).where("src < dst")
-    groups = connected_components(df.select(key), edges.select("src", "dst"), key)
+    groups = near_components(df, key, columns, radius)
     return df.join(groups.where(F.col(key) == F.col("component")).select(key), key, "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import registry
 from quern.functions import arrays, scores
-from quern.operators import graphs, models, ranking
+from quern.operators import graphs, models, neighbours, ranking
 from quern.plans import storage
 from quern.registry import table
 from tests.compare import assert_same, database
@@ -143,3 +143,32 @@ def test_rows_are_normalized_in_linear_time(spark, mode):
     assert time.time() - start < 6
     shift = x.mean(axis=1, keepdims=True) if mode == "m0v1" else 0
     assert got[0] == [] and np.allclose(got[1:], (x - shift) / x.std(axis=1, ddof=1, keepdims=True))
+
+
+def test_components_of_near_rows_without_their_pairs(spark, monkeypatch):
+    """As from all pairs; crowds, gaps, missing numbers and repeated keys included."""
+    rng = np.random.default_rng(9)
+    crowd = [(rng.random((60, 2)) + [4.0 * k, 0]) * [1, 0.3] for k in range(6)]
+    x = np.concatenate([rng.random((400, 2)) * 40 + 100, *crowd, rng.integers(0, 60, (300, 2)) - 200.0])
+    rows = [(i * 7 % 100_003, *map(float, p)) for i, p in enumerate(x)]
+    rows += [(200_001, None, 1.0), (200_002, float("inf"), 1.0), (200_003, 1.0, None), (rows[3][0], 900.0, 900.0), (rows[500][0], 901.0, 900.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    ends = df.where("abs(x) < double('infinity') and y is not null")
+    for radius in (1.0, 2.0, 3.3):
+        edges = neighbours.radius_join(ends, "id", ["x", "y"], radius).select("src", "dst")
+        want = graphs.connected_components(df.select("id"), edges).collect()
+        with monkeypatch.context() as m:
+            m.setattr(neighbours, "_grid_pairs", None)
+            got = neighbours.near_components(df, "id", ["x", "y"], radius).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_crowded_cells_are_compared_row_by_row(spark):
+    """Two cells whose extreme rows are too far apart, but that two inner rows link."""
+    points = [(0.0, 0.35), (0.1, 0.0), (0.1, 0.70), (0.05, 0.3), (1.41, 0.35), (1.4, 0.0), (1.4, 0.70), (1.30, 0.3)]
+    points += [(0.30, 0.32), (1.299, 0.33)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, x double, y double")
+    edges = neighbours.radius_join(df, "id", ["x", "y"], 1.0).select("src", "dst")
+    want = graphs.connected_components(df.select("id"), edges).collect()
+    got = neighbours.near_components(df, "id", ["x", "y"], 1.0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
