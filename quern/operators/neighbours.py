@@ -86,6 +86,55 @@ def radius_join(df: DataFrame, key: str, columns: list[str], radius: float) -> D
     )
 
 
+def label_distances(df: DataFrame, label: str, columns: list[str], radius: float) -> DataFrame:
+    """a, b, dist: for the labels of two rows within the radius, the sum of all such distances, a row's own 0 included.
+
+    The sums of ``radius_join`` without its pairs as rows: a cell's rows and
+    those of its neighbouring cells meet in parts of about BLOCK_ROWS, whose
+    distances are summed in numpy.
+    """
+    grid = [f"g{i}" for i in range(len(columns))]
+    rows = df.select(F.col(label).alias("label"), *(F.col(c).cast("double").alias(c) for c in columns), *(x.alias(g) for x, g in zip(_cells(dict.fromkeys(columns, radius)), grid, strict=True)))
+    rows = rows.where(" and ".join(f"{g} is not null" for g in grid))
+    around = rows
+    for g in grid:
+        around = around.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    parts = lambda x, name: x.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name))
+    cells = stored(parts(rows, "mine").join(parts(around, "others"), grid), "cells")
+    place = F.xxhash64("label", *columns, F.monotonically_increasing_id())
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    here = rows.withColumn("place", place).join(cells, grid).select(*grid, F.pmod("place", "mine").alias("own"), every("others").alias("other"), F.lit(0).alias("side"), "label", *columns)
+    there = around.withColumn("place", place).join(cells, grid).select(*grid, every("mine").alias("own"), F.pmod("place", "others").alias("other"), F.lit(1).alias("side"), "label", *columns)
+
+    def sums(table: pa.Table) -> pa.Table:
+        side = np.asarray(table["side"])
+        coded = table["label"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+        x = np.column_stack([np.asarray(table[c]) for c in columns])
+        a, b, of_a, of_b = x[side == 0], x[side == 1], code[side == 0], code[side == 1]
+        found: dict[int, float] = {}
+        for low in range(0, len(a), 128):
+            square = 0.0
+            for k in range(len(columns)):
+                d = a[low : low + 128, k, None] - b[None, :, k]
+                square = square + d * d
+            r, c = np.nonzero(square <= radius * radius)
+            name, dist = of_a[low + r] * n + of_b[c], np.sqrt(square[r, c])
+            if n * n > len(name):
+                names, name = np.unique(name, return_inverse=True)
+            else:
+                names = np.arange(n * n)
+            total, many = np.bincount(name, dist, len(names)), np.bincount(name, minlength=len(names))
+            for i in np.flatnonzero(many).tolist():
+                found[int(names[i])] = found.get(int(names[i]), 0.0) + float(total[i])
+        pick = lambda f: coded.dictionary.take(pa.array([f(name) for name in found], pa.int64()))
+        return pa.table({"a": pick(lambda v: v // n), "b": pick(lambda v: v % n), "dist": pa.array(list(found.values()), pa.float64())})
+
+    kind = df.schema[label].dataType.simpleString()
+    summed = here.unionByName(there).groupBy(*grid, "own", "other").applyInArrow(sums, f"a {kind}, b {kind}, dist double")
+    return summed.groupBy("a", "b").agg(F.sum("dist").alias("dist"))
+
+
 def box_join(df: DataFrame, key: str, half: dict[str, float]) -> DataFrame:
     """src, dst of all rows that differ by at most ``half`` in each column."""
     pairs = _grid_pairs(df, key, half)

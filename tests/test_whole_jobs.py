@@ -172,3 +172,16 @@ def test_crowded_cells_are_compared_row_by_row(spark):
     want = graphs.connected_components(df.select("id"), edges).collect()
     got = neighbours.near_components(df, "id", ["x", "y"], 1.0).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_distances_are_summed_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 3 if i % 7 else None, *map(float, p)) for i, p in enumerate(rng.random((300, 2)) * 6 - 3)] + [(1, None, 0.0)]
+    df = spark.createDataFrame(rows, "label long, x double, y double").withColumn("id", F.monotonically_increasing_id())
+    named = df.select("id", "label")
+    edges = neighbours.radius_join(df, "id", ["x", "y"], 1.0).join(named.toDF("src", "a"), "src").join(named.toDF("dst", "b"), "dst")
+    want = {(r.a, r.b): r.dist for r in graphs.adjacency(edges, "a", "b", "dist").collect()}
+    monkeypatch.setattr(neighbours, "_grid_pairs", None)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    got = {(r.a, r.b): r.dist for r in neighbours.label_distances(df, "label", ["x", "y"], 1.0).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
