@@ -94,3 +94,10 @@ def normalized(a: Column, mode: str) -> Column:
     A scale of zero counts as 1.
     """
     return _scaled(a, *_MODES[mode](a))
+
+
+def half_up(x: Column, places: int) -> Column:
+    """Numbers from 0 to 2 ** 63 / 10 ** ``places``, rounded half up; unlike ``round``, without a decimal for each."""
+    t, one = x * F.lit(10.0**places), F.lit(10.0**places)
+    low = F.floor(t)
+    return (low + F.when(t - low >= 0.5, 1).otherwise(0)) / one

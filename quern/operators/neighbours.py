@@ -8,15 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import graphs
 from quern.operators.graphs import component_roots
 from quern.shared import stored
 
 #: Rows of a block of the pool, and of the queries that meet it.
 BLOCK_ROWS = 8_192
 
+#: Rows of a cell whose lists of neighbours one group makes, and pairs that it compares at a time (or those of one row).
+LIST_ROWS, PAIRS = 512, 1 << 19
+
 
 def exact_neighbours(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, *, include_self: bool = True) -> DataFrame:
     """src, dst, dist: the ``k`` nearest of the pool to each query by Euclidean distance; ties to the smaller key.
@@ -53,8 +58,6 @@ def exact_neighbours(queries: DataFrame, pool: DataFrame, key: str, vector: str,
 
     found = met.groupBy("pb", "qb").applyInArrow(best, "src long, dst long, dist double")
     # Rounded for the order alone, so that equal distances are ties on every machine.
-    from pyspark.sql import Window
-
     order = Window.partitionBy("src").orderBy(F.round("dist", 9), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -63,11 +66,11 @@ def _cells(columns: dict[str, float]) -> list[Column]:
     return [F.floor(F.col(c) / F.lit(float(size))).cast("long") for c, size in columns.items()]
 
 
-def _grid_pairs(df: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """Pairs of rows in the same or a neighbouring cell of a grid; columns a_* and b_*."""
+def _grid_pairs(left: DataFrame, right: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
+    """Pairs of rows of either in the same or a neighbouring cell of a grid; columns a_* and b_*."""
     names = list(columns)
-    left = df.select(F.col(key).alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in names), *(c.alias(f"g{i}") for i, c in enumerate(_cells(columns))))
-    right = df.select(F.col(key).alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in names), *(c.alias(f"h{i}") for i, c in enumerate(_cells(columns))))
+    left = left.select(F.col(key).alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in names), *(c.alias(f"g{i}") for i, c in enumerate(_cells(columns))))
+    right = right.select(F.col(key).alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in names), *(c.alias(f"h{i}") for i, c in enumerate(_cells(columns))))
     for i in range(len(names)):
         right = right.withColumn(f"g{i}", F.explode(F.array(F.col(f"h{i}") - 1, F.col(f"h{i}"), F.col(f"h{i}") + 1)))
     return left.join(right, [f"g{i}" for i in range(len(names))])
@@ -79,7 +82,12 @@ def radius_join(df: DataFrame, key: str, columns: list[str], radius: float) -> D
     Rows meet by grid cell: an equi-join on cells of the radius's size, in which
     one side stands in its 3 ** d neighbouring cells.
     """
-    pairs = _grid_pairs(df, key, dict.fromkeys(columns, radius))
+    return radius_pairs(df, df, key, columns, radius)
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:
+    """src of ``left``, dst of ``right`` and dist of all rows within the radius of each other."""
+    pairs = _grid_pairs(left, right, key, dict.fromkeys(columns, radius))
     square = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0))
     return pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), square.alias("square")).where(F.col("square") <= radius * radius).select(
         "src", "dst", F.sqrt("square").alias("dist")
@@ -135,9 +143,68 @@ def label_distances(df: DataFrame, label: str, columns: list[str], radius: float
     return summed.groupBy("a", "b").agg(F.sum("dist").alias("dist"))
 
 
+def radius_lists(df: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:
+    """src and near, the keys of all rows within the radius, itself included, by distance to 9 places and key.
+
+    The lists of ``radius_join`` without its pairs as rows: parts of a cell's
+    rows meet all rows of the neighbouring cells, so that a row's whole list is
+    found and sorted in one place. Only rows that share a key, whose lists are
+    one, go by pairs.
+    """
+    grid = [f"g{i}" for i in range(len(columns))]
+    rows = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), *(x.alias(g) for x, g in zip(_cells(dict.fromkeys(columns, radius)), grid, strict=True)))
+    rows = rows.where(" and ".join(f"{g} is not null" for g in grid))
+    rows = stored(rows.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("id"))), "points")
+    alone = rows.where("same = 1")
+    around = rows.select("id", *columns, *grid)
+    for g in grid:
+        around = around.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    cells = alone.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("parts"))
+    here = alone.join(cells, grid).select(*grid, F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(0).alias("side"), "id", *columns)
+    there = around.join(cells, grid).select(*grid, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", *columns)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        side = np.asarray(table["side"])
+        ids = table["id"].combine_chunks()
+        x = np.column_stack([np.asarray(table[c]) for c in columns])
+        at = np.asarray(pc.array_sort_indices(ids, null_placement="at_start"))
+        at = at[side[at] == 1]
+        a, b, src, dst = x[side == 0], x[at], ids.filter(pa.array(side == 0)), ids.take(pa.array(at))
+        width = max(1, len(b).bit_length())
+        step = max(1, PAIRS // max(1, len(b)))
+        for low in range(0, len(a), step):
+            square = 0.0
+            for k in range(len(columns)):
+                d = a[low : low + step, k, None] - b[None, :, k]
+                square = square + d * d
+            r, c = np.nonzero(square <= radius * radius)
+            t = np.sqrt(square[r, c]) * 1e9
+            floor = np.floor(t)
+            floor += t - floor >= 0.5
+            n = min(step, len(a) - low)
+            if int(floor.max(initial=0)).bit_length() + width + n.bit_length() < 63:
+                bits = int(floor.max(initial=0)).bit_length()
+                order = (r << (bits + width)) | (floor.astype(np.int64) << width) | c
+                order.sort()
+                c = order & ((1 << width) - 1)
+            else:
+                c = c[np.lexsort((c, floor, r))]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=n))])
+            found = ends[1:] > ends[:-1]
+            near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), dst.take(pa.array(c)))
+            yield pa.RecordBatch.from_arrays([src.slice(low, n), near], ["src", "near"]).filter(pa.array(found))
+
+    kind = df.schema[key].dataType.simpleString()
+    found = here.unionByName(there).groupBy(*grid, "part").applyInArrow(lists, f"src {kind}, near array<{kind}>")
+    edges = radius_pairs(rows.where("same > 1"), rows, "id", columns, radius)
+    shared = graphs.neighbour_lists(edges.withColumn("dist", F.round("dist", 9)), "src", "dst", "dist")
+    return found.unionByName(shared.select("src", F.transform("near", lambda n: n["dst"]).alias("near")))
+
+
 def box_join(df: DataFrame, key: str, half: dict[str, float]) -> DataFrame:
     """src, dst of all rows that differ by at most ``half`` in each column."""
-    pairs = _grid_pairs(df, key, half)
+    pairs = _grid_pairs(df, df, key, half)
     for c, h in half.items():
         pairs = pairs.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= h)
     return pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
