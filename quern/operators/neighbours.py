@@ -22,6 +22,9 @@ BLOCK_ROWS = 8_192
 #: Rows of a cell whose lists of neighbours one group makes, and pairs that it compares at a time (or those of one row).
 LIST_ROWS, PAIRS = 512, 1 << 19
 
+#: Rows of a cell that one group of a grid join takes; a merge join holds as many at a time.
+PART_ROWS = 2_048
+
 
 def exact_neighbours(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, *, include_self: bool = True) -> DataFrame:
     """src, dst, dist: the ``k`` nearest of the pool to each query by Euclidean distance; ties to the smaller key.
@@ -67,13 +70,27 @@ def _cells(columns: dict[str, float]) -> list[Column]:
 
 
 def _grid_pairs(left: DataFrame, right: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
-    """Pairs of rows of either in the same or a neighbouring cell of a grid; columns a_* and b_*."""
-    names = list(columns)
-    left = left.select(F.col(key).alias("a_id"), *(F.col(c).alias(f"a_{c}") for c in names), *(c.alias(f"g{i}") for i, c in enumerate(_cells(columns))))
-    right = right.select(F.col(key).alias("b_id"), *(F.col(c).alias(f"b_{c}") for c in names), *(c.alias(f"h{i}") for i, c in enumerate(_cells(columns))))
-    for i in range(len(names)):
-        right = right.withColumn(f"g{i}", F.explode(F.array(F.col(f"h{i}") - 1, F.col(f"h{i}"), F.col(f"h{i}") + 1)))
-    return left.join(right, [f"g{i}" for i in range(len(names))])
+    """Pairs of rows of either in the same or a neighbouring cell of a grid; columns a_* and b_*.
+
+    Parts of a cell's rows, of about PART_ROWS each, meet all rows around it. Rows are dealt to
+    tasks by cell and part: a small file would else be broadcast and met by the one task
+    that reads the other side, however many pairs there are. Missing and
+    infinite numbers are near to nothing.
+    """
+    names, grid = list(columns), [f"g{i}" for i in range(len(columns))]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A hair wider, for the rounding of differences.
+    sizes = {c: size * (1 + 1e-9) for c, size in columns.items()}
+    placed = lambda df, x: df.select(F.col(key).alias(f"{x}_id"), *(F.col(c).alias(f"{x}_{c}") for c in names), *(c.alias(g) for c, g in zip(_cells(sizes), grid, strict=True)))
+    finite = lambda df: df.where(" and ".join(f"abs(`{c}`) < double('infinity')" for c in names))
+    here, there = placed(finite(left), "a"), placed(finite(right), "b").repartition("b_id")
+    cells = here.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    here = here.join(cells, grid).withColumn("part", F.pmod(F.xxhash64("a_id", *(f"a_{c}" for c in names)), "parts")).drop("parts")
+    for g in grid:
+        there = there.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    there = there.join(cells, grid).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    met = [*grid, "part"]
+    return there.repartition(tasks, *met).join(here.repartition(tasks, *met).hint("merge"), met)
 
 
 def radius_join(df: DataFrame, key: str, columns: list[str], radius: float) -> DataFrame:

@@ -185,3 +185,28 @@ def test_distances_are_summed_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
     got = {(r.a, r.b): r.dist for r in neighbours.label_distances(df, "label", ["x", "y"], 1.0).collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
+
+
+def _crowd():
+    """A crowded cell, a few rows around it, missing numbers, and a difference that rounds down to 1."""
+    rng = np.random.default_rng(6)
+    points = [*(rng.random((300, 2)) * 0.9 + 5), *(rng.random((60, 2)) * 6 + 3), (1 - 2.0**-53, -9.0), (2.0, -9.0)]
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    return rows, [*rows, (900, None, 5.0), (901, 5.0, None), (902, float("nan"), 5.0), (903, float("inf"), 5.0)]
+
+
+def _in_tasks(df):
+    """Rows, and how many tasks give any."""
+    rows = df.withColumn("task", F.spark_partition_id()).collect()
+    return [tuple(r)[:-1] for r in rows], len({r.task for r in rows})
+
+
+def test_pairs_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 16)
+    rows, every = _crowd()
+    df = spark.createDataFrame(every, "id long, x double, y double").coalesce(1)
+    got, tasks = _in_tasks(neighbours.radius_join(df, "id", ["x", "y"], 1.0))
+    x = np.array([r[1:] for r in rows])
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert sorted(got) == [(a, b, float(np.sqrt(square[a, b]))) for a, b in np.argwhere(square <= 1).tolist()]
+    assert tasks == 4
