@@ -210,3 +210,14 @@ def test_pairs_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch):
     square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     assert sorted(got) == [(a, b, float(np.sqrt(square[a, b]))) for a, b in np.argwhere(square <= 1).tolist()]
     assert tasks == 4
+
+
+def test_boxes_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 16)
+    rows, every = _crowd()
+    df = spark.createDataFrame(every, "id long, x double, y double").coalesce(1)
+    got, tasks = _in_tasks(neighbours.box_join(df, "id", {"x": 1.0, "y": 0.5}))
+    x = np.array([r[1:] for r in rows])
+    near = (np.abs(x[:, None] - x[None]) <= [1.0, 0.5]).all(axis=2)
+    assert sorted(got) == [tuple(p) for p in np.argwhere(near).tolist()] and (360, 361) in got
+    assert tasks == 4
