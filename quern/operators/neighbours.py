@@ -25,6 +25,9 @@ LIST_ROWS, PAIRS = 512, 1 << 19
 #: Rows of a cell that one group of a grid join takes; a merge join holds as many at a time.
 PART_ROWS = 2_048
 
+#: Rows of a bucket's part in ``approximate_neighbours``.
+BUCKET_ROWS = 8_192
+
 
 def exact_neighbours(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, *, include_self: bool = True) -> DataFrame:
     """src, dst, dist: the ``k`` nearest of the pool to each query by Euclidean distance; ties to the smaller key.
@@ -332,14 +335,72 @@ def greedy_thin(df: DataFrame, key: str, columns: list[str], radius: float) -> D
 
 
 def approximate_neighbours(df: DataFrame, key: str, vector: str, radius: float, bucket: float = 0.5, tables: int = 6, seed: int = 1) -> DataFrame:
-    """src, dst, dist within the radius, as far as random-projection buckets find them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    """src, dst, dist below the radius, as far as random-projection buckets find them.
 
-    rows = df.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, "dist")
-    return pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "dist")
+    The pairs of ``approxSimilarityJoin``, without its candidates as rows: parts
+    of a table's bucket meet two by two and are compared with one matrix product;
+    a pair is given by the first table in which its rows share a bucket. No
+    bucket is cut; rows whose buckets hold most of the table make it quadratic.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).distinct().withColumn("vector", array_to_vector("x"))
+    model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    hashes = F.array(*(vector_to_array(F.col("h")[i])[0].cast("long") for i in range(tables)))
+    hashed = stored(model.transform(rows).select("id", "x", hashes.alias("h")), "buckets")
+    dealt = hashed.select("*", F.posexplode("h").alias("t", "bucket"))
+    parts = dealt.groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("parts"))
+    part = F.pmod(F.xxhash64("id", "x"), "parts").alias("part")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = dealt.join(parts, ["t", "bucket"]).select("t", "bucket", "id", "x", "h", "parts", part).select("*", other)
+    met = dealt.select("t", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "id", "x", "h")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        table = table.take(pa.array(np.argsort(np.asarray(table["side"]), kind="stable"))).combine_chunks()
+        ids, first = table["id"].combine_chunks(), int((np.asarray(table["side"]) == 0).sum())
+        x, h = (np.asarray(pc.list_flatten(table[c])).reshape(table.num_rows, -1) for c in ("x", "h"))
+        alone, before = table["i"][0] == table["j"][0], table["t"][0].as_py()
+        start, square, one = 0 if alone else first, (x * x).sum(axis=1), np.ones(len(x))
+        # What rounding of the products may add; the distance itself decides.
+        slack = [4 * (x.shape[1] + 6) * float(np.finfo(kind).eps) * float(square.max()) for kind in (np.float32, float)]
+        kind, most = (np.float32, radius * radius + slack[0]) if slack[0] <= 0.1 * radius * radius else (float, radius * radius + slack[1])
+        a, b = np.column_stack([x, square, one]).astype(kind), np.column_stack([-2 * x, one, square]).astype(kind)
+        for mine, others, low in _unmet(h[:, :before], first, start, alone):
+            r, c = np.nonzero(a[mine] @ b[others].T <= most)
+            r, c = mine[r], others[c]
+            if low:
+                r, c = r[r <= c], c[r <= c]
+            fresh = ~(h[r, :before] == h[c, :before]).any(axis=1)
+            r, c = r[fresh], c[fresh]
+            dist = np.concatenate([np.sqrt(((x[r[k : k + 4096]] - x[c[k : k + 4096]]) ** 2).sum(axis=1)) for k in range(0, len(r), 4096)] or [np.zeros(0)])
+            kept = dist < radius
+            r, c, dist = r[kept], c[kept], dist[kept]
+            two = r != c
+            src, dst = ids.take(pa.array(np.concatenate([r, c[two]]))), ids.take(pa.array(np.concatenate([c, r[two]])))
+            yield pa.RecordBatch.from_arrays([src, dst, pa.array(np.concatenate([dist, dist[two]]))], ["src", "dst", "dist"])
+
+    kind, tasks = df.schema[key].dataType.simpleString(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["t", "bucket", "i", "j"]
+    return met.repartition(tasks, *group).groupBy(*group).applyInArrow(near, f"src {kind}, dst {kind}, dist double")
+
+
+def _unmet(before: np.ndarray, first: int, start: int, alone: bool, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows up to ``first``, rows from ``start`` to compare them with, and whether pairs occur in both orders.
+
+    ``before`` has the rows' hashes in earlier tables; if these are few, rows that share one are left out, as an earlier table has their pairs.
+    """
+    known, of = np.unique(before, axis=0, return_inverse=True) if before.shape[1] else (before[:0], None)
+    if 0 < len(known) <= 64:
+        both = itertools.combinations(range(len(known)), 2) if alone else itertools.product(range(len(known)), repeat=2)
+        apart = [(s, u) for s, u in both if not (known[s] == known[u]).any()]
+        met = [(np.flatnonzero(of[:first] == s), start + np.flatnonzero(of[start:] == u), False) for s, u in apart]
+    else:
+        met = [(np.arange(first), np.arange(start, len(before)), alone)]
+    for mine, others, twice in met:
+        for low in range(0, len(mine) if len(others) else 0, block):
+            yield mine[low : low + block], others[low:] if twice else others, twice
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:

@@ -221,3 +221,29 @@ def test_boxes_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch):
     near = (np.abs(x[:, None] - x[None]) <= [1.0, 0.5]).all(axis=2)
     assert sorted(got) == [tuple(p) for p in np.argwhere(near).tolist()] and (360, 361) in got
     assert tasks == 4
+
+
+def test_buckets_are_compared_without_their_pairs(spark, sf, monkeypatch):
+    """As approxSimilarityJoin, over one bucket or many, and at least 0.9 of what brute force finds."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 6)), 3, axis=0) + rng.normal(size=(120, 6)) * 0.12
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, x[0].tolist()), (0, x[0].tolist()), (0, x[5].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    vectors = df.select("id", array_to_vector("v").alias("x"))
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=0.5, numHashTables=6, seed=1).fit(vectors)
+    want = model.approxSimilarityJoin(vectors, vectors, 0.6).select("datasetA.id", "datasetB.id", "distCol").collect()
+    with monkeypatch.context() as m:
+        m.setattr(BucketedRandomProjectionLSHModel, "approxSimilarityJoin", None)
+        m.setattr(neighbours, "BUCKET_ROWS", 7, raising=False)
+        got = neighbours.approximate_neighbours(df, "id", "v", 0.6).collect()
+        found = {(r.src, r.dst) for r in registry.queries()["lsh_neighbours"](spark, sf).collect()}
+    flat = lambda rows: sorted((a, b, round(d, 9)) for a, b, d in rows)
+    assert flat(got) == flat(want) and len(got) > 250
+    data = sorted(table(spark, sf, "embeddings").collect())
+    v = np.array([r.embedding for r in data], float)
+    near = np.argwhere(((v[:, None] - v[None]) ** 2).sum(axis=2) < 0.36)
+    exact = {(data[a].vec_id, data[b].vec_id) for a, b in near}
+    assert found <= exact and len(found) >= 0.9 * len(exact)
