@@ -169,10 +169,11 @@ def radius_lists(df: DataFrame, key: str, columns: list[str], radius: float) ->
     The lists of ``radius_join`` without its pairs as rows: parts of a cell's
     rows meet all rows of the neighbouring cells, so that a row's whole list is
     found and sorted in one place. Only rows that share a key, whose lists are
-    one, go by pairs.
+    one, go by pairs. Missing and infinite numbers are near to nothing.
     """
     grid = [f"g{i}" for i in range(len(columns))]
-    rows = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), *(x.alias(g) for x, g in zip(_cells(dict.fromkeys(columns, radius)), grid, strict=True)))
+    df = df.where(" and ".join(f"abs(`{c}`) < double('infinity')" for c in columns))
+    rows = df.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(c) for c in columns), *(x.alias(g) for x, g in zip(_cells(dict.fromkeys(columns, radius * (1 + 1e-9))), grid, strict=True)))
     rows = rows.where(" and ".join(f"{g} is not null" for g in grid))
     rows = stored(rows.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("id"))), "points")
     alone = rows.where("same = 1")

@@ -247,3 +247,21 @@ def test_buckets_are_compared_without_their_pairs(spark, sf, monkeypatch):
     near = np.argwhere(((v[:, None] - v[None]) ** 2).sum(axis=2) < 0.36)
     exact = {(data[a].vec_id, data[b].vec_id) for a, b in near}
     assert found <= exact and len(found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_lists_of_neighbours_without_pairs_as_rows(spark, monkeypatch, again):
+    """By distance to 9 places, then key; only rows that share a key go by pairs."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 16)
+    rows, every = _crowd()
+    same = [(7, *rows[40][1:]), (7, 20.0, 20.0)] if again else []
+    if not again:
+        monkeypatch.setattr(graphs, "neighbour_lists", lambda edges, *_: edges.where("false").groupBy("src").agg(F.collect_list(F.struct("dist", "dst")).alias("near")))
+    df = spark.createDataFrame([*every, *same], "id long, x double, y double")
+    ids, x = np.array([r[0] for r in rows + same]), np.array([r[1:] for r in rows + same])
+    square = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = {}
+    for a, b in np.argwhere(square <= 1).tolist():
+        want.setdefault(int(ids[a]), []).append((round(float(np.sqrt(square[a, b])), 9), int(ids[b])))
+    got = neighbours.radius_lists(df, "id", ["x", "y"], 1.0).collect()
+    assert {r.src: r.near for r in got} == {k: [b for _, b in sorted(v)] for k, v in want.items()} and len(got) == len(want)
