@@ -25,6 +25,9 @@ LIST_ROWS, PAIRS = 512, 1 << 19
 #: Rows of a cell that one group of a grid join takes; a merge join holds as many at a time.
 PART_ROWS = 2_048
 
+#: Rows of a list that ``box_join`` takes apart at once; the pairs of a list and a part wait in memory.
+NEAR_ROWS = 64
+
 #: Rows of a bucket's part in ``approximate_neighbours``.
 BUCKET_ROWS = 8_192
 
@@ -72,21 +75,24 @@ def _cells(columns: dict[str, float]) -> list[Column]:
     return [F.floor(F.col(c) / F.lit(float(size))).cast("long") for c, size in columns.items()]
 
 
+def _placed(df: DataFrame, key: str, columns: dict[str, float], side: str, grid: list[str]) -> DataFrame:
+    """Key and columns as ``side``_*, beside the cell in ``grid``; without rows whose numbers are missing or infinite, which are near to nothing."""
+    # A hair wider, for the rounding of differences.
+    cells = _cells({c: size * (1 + 1e-9) for c, size in columns.items()})
+    finite = df.where(" and ".join(f"abs(`{c}`) < double('infinity')" for c in columns))
+    return finite.select(F.col(key).alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in columns), *(c.alias(g) for c, g in zip(cells, grid, strict=True)))
+
+
 def _grid_pairs(left: DataFrame, right: DataFrame, key: str, columns: dict[str, float]) -> DataFrame:
     """Pairs of rows of either in the same or a neighbouring cell of a grid; columns a_* and b_*.
 
     Parts of a cell's rows, of about PART_ROWS each, meet all rows around it. Rows are dealt to
     tasks by cell and part: a small file would else be broadcast and met by the one task
-    that reads the other side, however many pairs there are. Missing and
-    infinite numbers are near to nothing.
+    that reads the other side, however many pairs there are.
     """
     names, grid = list(columns), [f"g{i}" for i in range(len(columns))]
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A hair wider, for the rounding of differences.
-    sizes = {c: size * (1 + 1e-9) for c, size in columns.items()}
-    placed = lambda df, x: df.select(F.col(key).alias(f"{x}_id"), *(F.col(c).alias(f"{x}_{c}") for c in names), *(c.alias(g) for c, g in zip(_cells(sizes), grid, strict=True)))
-    finite = lambda df: df.where(" and ".join(f"abs(`{c}`) < double('infinity')" for c in names))
-    here, there = placed(finite(left), "a"), placed(finite(right), "b").repartition("b_id")
+    here, there = _placed(left, key, columns, "a", grid), _placed(right, key, columns, "b", grid).repartition("b_id")
     cells = here.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
     here = here.join(cells, grid).withColumn("part", F.pmod(F.xxhash64("a_id", *(f"a_{c}" for c in names)), "parts")).drop("parts")
     for g in grid:
@@ -224,8 +230,27 @@ def radius_lists(df: DataFrame, key: str, columns: list[str], radius: float) ->
 
 
 def box_join(df: DataFrame, key: str, half: dict[str, float]) -> DataFrame:
-    """src, dst of all rows that differ by at most ``half`` in each column."""
-    pairs = _grid_pairs(df, df, key, half)
+    """src, dst of all rows that differ by at most ``half`` in each column.
+
+    As in ``radius_join`` parts of a cell's rows meet all rows around it, but the
+    latter in lists of about NEAR_ROWS: one step of the join meets a row with a
+    whole list, which is then taken apart beside it.
+    """
+    names, grid = list(half), [f"g{i}" for i in range(len(half))]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _placed(df, key, half, "a", grid)
+    number = lambda size, name: F.ceil(F.count(F.lit(1)) / size).alias(name)
+    cells = rows.groupBy(*grid).agg(number(PART_ROWS, "parts"), number(NEAR_ROWS, "lists"))
+    place = F.xxhash64("a_id", *(f"a_{c}" for c in names))
+    rows = rows.join(cells, grid).withColumns({"part": F.pmod(place, "parts"), "list": F.pmod(place, "lists")}).drop("parts", "lists")
+    near = F.struct(F.col("a_id").alias("b_id"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in names))
+    there = rows.groupBy(*grid, "list").agg(F.collect_list(near).alias("near")).drop("list")
+    for g in grid:
+        there = there.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    there = there.join(cells.drop("lists"), grid).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    met = [*grid, "part"]
+    here = rows.drop("list").repartition(tasks, *met)
+    pairs = there.repartition(tasks, *met).join(here.hint("merge"), met).select("a_id", *(f"a_{c}" for c in names), F.inline("near"))
     for c, h in half.items():
         pairs = pairs.where(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= h)
     return pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))

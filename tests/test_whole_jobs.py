@@ -1,6 +1,7 @@
 """Queries do the whole job: nothing hard-coded, cut or left out."""
 
 import time
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -223,6 +224,42 @@ def test_boxes_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch):
     assert tasks == 4
 
 
+def _joined_rows(df):
+    """Rows that the joins of an executed plan gave."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("SortMergeJoin"):
+            total += node.metrics().apply("numOutputRows").value()
+        if node.nodeName() == "ResultQueryStage":
+            nodes.append(node.plan())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_boxes_meet_rows_with_lists(spark, monkeypatch):
+    """A step of the join is a row and a list, not a pair, of numbers of all kinds; keys may be missing or shared."""
+    rows, every = _crowd()
+    df = spark.createDataFrame([*every, (7, 5.5, 5.5), (None, 5.5, 5.5)], "id long, x double, y double")
+    pairs = neighbours.box_join(df, "id", {"x": 1.0, "y": 0.5})
+    found = pairs.count()
+    got = pairs.collect()
+    assert len(got) == found and 0 < _joined_rows(pairs) < found / 4
+    monkeypatch.setattr(neighbours, "PART_ROWS", 16)
+    monkeypatch.setattr(neighbours, "NEAR_ROWS", 3, raising=False)
+    ids = [r[0] for r in rows] + [7, None]
+    x = np.array([*(r[1:] for r in rows), (5.5, 5.5), (5.5, 5.5)])
+    order = lambda found: sorted(tuple(r) for r in found if None not in tuple(r)) + [sum(None in tuple(r) for r in found)]
+    want = order([(ids[a], ids[b]) for a, b in np.argwhere((np.abs(x[:, None] - x[None]) <= [1.0, 0.5]).all(axis=2))])
+    assert order(got) == want == order(neighbours.box_join(df, "id", {"x": 1.0, "y": 0.5}).collect())
+    # Exact in decimals, though not in doubles.
+    tenth = df.where("x between -9999 and 9999").selectExpr("id", "cast(round(x * 10) as int) x", "cast(y as decimal(9,2)) y")
+    data = {(r.id, r.x, r.y) for r in tenth.collect() if r.y is not None}
+    want = sorted((a[0], b[0]) for a in data for b in data if None not in (a[0], b[0]) and abs(a[1] - b[1]) <= 3 and abs(a[2] - b[2]) <= Decimal("0.05"))
+    got = neighbours.box_join(tenth.where("id is not null").distinct(), "id", {"x": 3, "y": 0.05}).collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 500
+
+
 def test_buckets_are_compared_without_their_pairs(spark, sf, monkeypatch):
     """As approxSimilarityJoin, over one bucket or many, and at least 0.9 of what brute force finds."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
